@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, line_dedup, packing, simhash, token_count, topk
+from quern.llm import bpe, line_dedup, packing, quality, simhash, token_count, topk, toxicity
 from quern.session import table
 
 
@@ -32,7 +32,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_top_k, op7_packing, op8_bpe)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_top_k, op7_packing, op8_bpe, op9_toxicity, op10_quality)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
