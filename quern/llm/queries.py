@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, line_dedup, packing, quality, simhash, token_count, topk, toxicity
+from quern.llm import bpe, line_dedup, lm, packing, quality, simhash, token_count, topk, toxicity
 from quern.session import table
 
 
@@ -24,6 +24,10 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_report(table(spark, sf_dir, "embeddings"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_top_k, op7_packing, op8_bpe, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_top_k, op6_lm, op7_packing, op8_bpe, op9_toxicity, op10_quality)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
