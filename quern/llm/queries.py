@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, line_dedup, lm, packing, quality, simhash, token_count, topk, toxicity
+from quern.llm import bpe, chat, line_dedup, lm, packing, quality, simhash, token_count, topk, toxicity
 from quern.session import table
 
 
@@ -24,6 +24,13 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_report(table(spark, sf_dir, "embeddings"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema)
+    return chat.read_back(chat.prefix_trees(rows.unionByName(more)))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -45,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_top_k, op6_lm, op7_packing, op8_bpe, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_counts, op4_top_k, op5_chat, op6_lm, op7_packing, op8_bpe, op9_toxicity, op10_quality)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
@@ -70,6 +77,27 @@ m AS (
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op5_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+e AS (
+  SELECT *, length(regexp_replace(regexp_replace(role,
+      '<(\\*)(\|turn\|>|\|text\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|startoftext\|>|\|endoftext\|>|s>|/s>)', '<\\\1\2', 'g'),
+      '\[(\\*)(INST\]|/INST\])', '[\\\1\2', 'g')) + length(regexp_replace(regexp_replace(text,
+      '<(\\*)(\|turn\|>|\|text\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|startoftext\|>|\|endoftext\|>|s>|/s>)', '<\\\1\2', 'g'),
+      '\[(\\*)(INST\]|/INST\])', '[\\\1\2', 'g')) + 23 AS chars
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
 """,
     "op4_top_k": """
 WITH v AS (
