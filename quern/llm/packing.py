@@ -38,48 +38,30 @@ class Ids(dict):
     """chunk of bytes without ASCII blanks -> its ids as little-endian words.
 
     The tokenizer splits at white space and lower-cases letter by letter, so a text's ids are those
-    of its chunks in order; each chunk is encoded once.
+    of its chunks in order; each chunk is encoded when it is first missing.
     """
 
-    def __init__(self, path: str, memory: int = 1 << 19):
+    def __init__(self, path: str, memory: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self.merge = self.tokenizer.model.tokenize
 
-    def learn(self, chunks: set[bytes]) -> None:
-        if self and len(self) + len(chunks) > self.memory:
-            self.clear()
-        # letters and one full stop or comma are two pre-tokens: the letters are looked up alone
-        bare = {x[:-1] for x in chunks if x[-1:] in (b".", b",") and x[:-1].isalpha()}
-        new = [x for x in chunks | bare if x not in self and not (x[-1:] in (b".", b",") and x[:-1] in bare)]
-        new += [x for x in (b".", b",") if x not in self and x not in new]
-        by_form: dict[bytes, list[bytes]] = {}
-        for x in new:
-            by_form.setdefault(x.lower(), []).append(x)  # bytes: A-Z only, which the tokenizer lower-cases too
-        special = [x for x in new if b"<|" in x]
-        encode, merge = self.tokenizer.encode, self.merge
-        for x in [x for x in by_form if x not in self]:
-            if x.isalpha():  # ASCII letters, lower case: one pre-token, its bytes stand for themselves
-                ids = [t.id for t in merge(x.decode())]
-            else:
-                ids = encode(x.decode(), add_special_tokens=False).ids
-            self[x] = array("I", ids).tobytes()
-        for form, own in by_form.items():
-            for x in own:
-                self[x] = self[form]
-        for x in special:
-            self[x] = array("I", encode(x.decode(), add_special_tokens=False).ids).tobytes()
-        for x in chunks:
-            if x not in self:
-                self[x] = self[x[:-1]] + self[x[-1:]]
+    def __missing__(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters: one pre-token, whose bytes stand for themselves
+            ids = array("I", [t.id for t in self.merge(chunk.lower().decode())]).tobytes()
+        elif chunk[:-1].isalpha() and chunk[-1:] in (b".", b","):  # two pre-tokens
+            ids = self[chunk[:-1]] + array("I", [t.id for t in self.merge(chunk[-1:].decode())]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
 
     def of(self, text: str) -> bytes:
-        chunks = text.encode().split()
-        while missing := {x for x in set(chunks) if x not in self}:  # twice if the memory was cleared
-            self.learn(missing)
-        return b"".join([self[x] for x in chunks]) + END
+        if len(self) > self.memory:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode().split())) + END
 
 
 @lru_cache(2)
