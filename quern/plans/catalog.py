@@ -1 +1,3 @@
 """The modules whose queries are registered."""
+
+from quern.plans import q_metadata  # noqa: F401
