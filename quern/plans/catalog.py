@@ -1,3 +1,4 @@
 """The modules whose queries are registered."""
 
 from quern.plans import q_metadata  # noqa: F401
+from quern.plans import q_segments  # noqa: F401

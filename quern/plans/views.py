@@ -46,13 +46,14 @@ CUES_SQL = """cues AS (
   SELECT user_id AS source_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS INTEGER) AS idx,
          CAST(ms AS DOUBLE) / 1000 AS "start", CAST(ms + CAST(floor(value * 100) AS BIGINT) AS DOUBLE) / 1000 AS "end",
          event_type || CAST(event_id AS VARCHAR) AS text, (event_id % 100) / 100.0::DOUBLE AS confidence
-  FROM (SELECT *, (epoch_ms(ts) - 1704067200000) // 6000 AS ms FROM events))"""
+  FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 6000000 AS ms FROM events))"""
 
 
 def cues(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    ms = F.floor((F.unix_millis("ts") - 1704067200000) / 6000).cast("long")
+    since = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    ms = F.floor(since / 6000000).cast("long")
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", ms.alias("ms"))
     return e.select(
         F.col("user_id").alias("source_id"),
