@@ -105,7 +105,7 @@ def _joined(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         F.map_values("__dropped"), F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b).cast("long")
     )
     return (
-        wide.join(maps, hit, "left")
+        wide.join(maps.hint("merge"), hit, "left")  # the maps grow with the texts: one way at every size
         .withColumn("__n_dropped", F.coalesce(bit_count, F.lit(0).cast("long")))
         .withColumn("__kept", _kept_text(text, F.col("__dropped")))
     )
