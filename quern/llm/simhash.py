@@ -308,7 +308,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """docs, same columns, with the document of the smallest doc_id of each class; a row repeated
     under that doc_id stays once. Rows without a doc_id go unless their class has no other."""
     found = near_duplicates(docs, radius)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
     kept = stored(kept, "simhash-kept")
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    # the ids grow with the texts: one way of joining at every size
+    one = docs["doc_id"].cast("long").eqNullSafe(kept["__kept_id"])
+    out = docs.join(kept.hint("merge"), one, "left_semi")
+    return out.dropDuplicates(["doc_id"]) if kept.filter("__rows > 1").take(1) else out
