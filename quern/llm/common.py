@@ -32,6 +32,13 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that few texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def per_batch(
     docs: DataFrame, schema: str | T.StructType, start: Callable[[], Callable[[pa.RecordBatch], dict | None]]
 ) -> DataFrame:
@@ -46,9 +53,7 @@ def per_batch(
 
         target = to_arrow_schema(kind)
         f = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in sliced(batches):
             f = f or start()
             out = f(batch)
             if out is not None:
@@ -64,9 +69,7 @@ def passing(docs: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in sliced(batches):
             f = f or start()
             yield batch.filter(pa.array(np.asarray(f(batch), dtype=bool)))
 

@@ -41,7 +41,7 @@ class Ids(dict):
     of its chunks in order; each chunk is encoded when it is first missing.
     """
 
-    def __init__(self, path: str, memory: int = 800_000):
+    def __init__(self, path: str, memory: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
