@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numbers, text
 from quern.functions import tables as t
+from quern.functions.text import let
 
 #: English numerals.
 EN_ONES = (
@@ -34,24 +35,34 @@ def _en_below_thousand(n: Column) -> Column:
 
 def english_words(n: Column) -> Column:
     """Words of 0 .. 10^12 - 1, groups joined by ", " and a last part under a hundred by " and "."""
-    n = n.cast("long")
-    out = None
-    for unit, name in ((1_000_000_000, "billion"), (1_000_000, "million"), (1000, "thousand")):
-        k = (F.floor(n / unit) % 1000).cast("int")
-        part = F.when(k > 0, F.concat(_en_below_thousand(k), F.lit(f" {name}")))
-        out = part if out is None else F.nullif(F.concat_ws(", ", out, part), F.lit(""))
-    r = (n % 1000).cast("int")
-    last = F.when(r > 0, _en_below_thousand(r))
-    joined = F.when(r < 100, F.concat_ws(" and ", out, last)).otherwise(F.concat_ws(", ", out, last))
-    return F.when(n == 0, "zero").otherwise(joined)
+
+    def words(n: Column) -> Column:
+        groups = []
+        for unit, name in ((1_000_000_000, "billion"), (1_000_000, "million"), (1000, "thousand")):
+            k = (F.floor(n / unit) % 1000).cast("int")
+            groups.append(_group(k, name))
+        large = F.nullif(F.concat_ws(", ", *groups), F.lit(""))
+        small = (n % 1000).cast("int")
+        last = let(small, lambda r: F.when(r > 0, _en_below_thousand(r)))
+        joined = F.when(small < 100, F.concat_ws(" and ", large, last)).otherwise(F.concat_ws(", ", large, last))
+        return F.when(n == 0, "zero").otherwise(joined)
+
+    return let(n.cast("long"), lambda x: F.when(x.isNotNull(), words(x)))
+
+
+def _group(k: Column, name: str) -> Column:
+    return let(k, lambda x: F.when(x > 0, F.concat(_en_below_thousand(x), F.lit(f" {name}"))))
 
 
 def english_ordinal(n: Column) -> Column:
-    words = english_words(n)
-    head, last = F.regexp_extract(words, "^(.*?)([a-z]+)$", 1), F.regexp_extract(words, "([a-z]+)$", 1)
     special = F.create_map(*[F.lit(x) for kv in EN_ORDINALS.items() for x in kv])
-    regular = F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", ""), F.lit("ieth"))).otherwise(F.concat(last, F.lit("th")))
-    return F.concat(head, F.coalesce(F.try_element_at(special, last), regular))
+
+    def ordinal(words: Column) -> Column:
+        head, last = F.regexp_extract(words, "^(.*?)([a-z]+)$", 1), F.regexp_extract(words, "([a-z]+)$", 1)
+        regular = F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", ""), F.lit("ieth"))).otherwise(F.concat(last, F.lit("th")))
+        return F.concat(head, F.coalesce(F.try_element_at(special, last), regular))
+
+    return let(english_words(n), ordinal)
 
 
 def english_numbers(c: Column) -> Column:
@@ -84,6 +95,10 @@ def english_numbers(c: Column) -> Column:
 
 def abbreviations(c: Column, lang: Column) -> Column:
     """Languages without a list stay as they are."""
+    return let(c, lambda x: _abbreviations(x, lang))
+
+
+def _abbreviations(c: Column, lang: Column) -> Column:
     out = F.when(F.lit(False), c)
     for code, pairs in t.LANG_ABBREVIATIONS.items():
         own = c
@@ -99,6 +114,10 @@ def abbreviations(c: Column, lang: Column) -> Column:
 
 def symbols(c: Column, lang: Column) -> Column:
     """Seven symbols as words; double spaces collapse after each."""
+    return let(c, lambda x: _symbols(x, lang))
+
+
+def _symbols(c: Column, lang: Column) -> Column:
     out = F.when(F.lit(False), c)
     for code, words in t.LANG_SYMBOLS.items():
         own = c
@@ -113,10 +132,12 @@ def clean(c: Column, lang: Column) -> Column:
     """Quotes go, lower case, numbers (English and Amharic), abbreviations, symbols, white space."""
     c = F.replace(c, F.lit('"'), F.lit(""))
     tr = F.translate(c, "İÖÜ", "iöü")
-    c = F.lower(F.when(lang == "tr", tr).otherwise(c))
-    spoken = F.when(lang == "en", english_numbers(c)).when(lang.isin("am", "amh"), numbers.expand_grouped(text.normalize_amharic(c))).otherwise(c)
-    spaced = F.regexp_replace(symbols(abbreviations(spoken, lang), lang), r"(?U)\s+", " ")
-    return spaced
+    low = F.lower(F.when(lang == "tr", tr).otherwise(c))
+    spoken = let(
+        low,
+        lambda x: F.when(lang == "en", english_numbers(x)).when(lang.isin("am", "amh"), numbers.expand_grouped(text.normalize_amharic(x))).otherwise(x),
+    )
+    return F.regexp_replace(symbols(abbreviations(spoken, lang), lang), r"(?U)\s+", " ")
 
 
 def basic(c: Column) -> Column:

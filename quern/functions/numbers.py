@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import tables as t
+from quern.functions.text import let
 
 
 def _words(pool: tuple[str, ...], i: Column) -> Column:
@@ -41,26 +42,36 @@ def _below_billion(n: Column) -> Column:
 
 def amharic_words(n: Column) -> Column:
     """Words of a long of up to 18 digits, by groups of three; 0 has a word of its own."""
-    n = n.cast("long")
-    a = F.abs(n)
-    b = F.floor(a.cast("decimal(20,0)") / 1_000_000_000).cast("long")
-    r = (a % 1_000_000_000).cast("long")
-    words = F.concat_ws(" ", F.when(b > 0, F.concat(_below_billion(b), F.lit(" " + t.BILLION))), _below_billion(r))
-    return F.when(n == 0, t.ZERO).when(n < 0, F.concat(F.lit(t.MINUS + " "), words)).when(n > 0, words)
+
+    def words(n: Column) -> Column:
+        a = F.abs(n)
+        b = ((a - a % 1_000_000_000) / 1_000_000_000).cast("long")
+        said = F.concat_ws(
+            " ",
+            let(b, lambda x: F.when(x > 0, F.concat(_below_billion(x), F.lit(" " + t.BILLION)))),
+            let((a % 1_000_000_000).cast("long"), _below_billion),
+        )
+        return F.when(n == 0, t.ZERO).when(n < 0, F.concat(F.lit(t.MINUS + " "), said)).when(n > 0, said)
+
+    return let(n.cast("long"), words)
 
 
 def expand_number(s: Column) -> Column:
     """Words of a number given as text, commas allowed; anything else as it is."""
     plain = F.replace(F.trim(s), F.lit(","), F.lit(""))
-    n = F.when(plain.rlike(r"^[+-]?\d{1,18}$"), plain.try_cast("long"))
+    n = let(plain, lambda x: F.when(x.rlike(r"^[+-]?\d{1,18}$"), x.try_cast("long")))
     return F.coalesce(amharic_words(n), s)
 
 
 def replace_matches(c: Column, pattern: str, f) -> Column:
     """Each match of ``pattern`` becomes f(match)."""
-    found = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
-    rest = F.split(c, pattern)
-    return F.array_join(F.zip_with(rest, found, lambda a, b: F.concat(a, F.coalesce(f(b), F.lit("")))), "")
+
+    def joined(x: Column) -> Column:
+        found = F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
+        return F.array_join(F.zip_with(F.split(x, pattern), found, lambda a, b: F.concat(a, F.coalesce(f(b), F.lit("")))), "")
+
+    # a text without a match is not taken apart
+    return let(c, lambda x: F.when(x.rlike(pattern), joined(x)).otherwise(x))
 
 
 def expand_digits(c: Column) -> Column:

@@ -13,6 +13,11 @@ ETHIOPIC = r"[\x{1200}-\x{137F}]"
 ETHIOPIC_WIDE = r"[\x{1200}-\x{139F}]"
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once and held once in the plan, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space, also beyond ASCII, become one space; none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
@@ -112,11 +117,16 @@ def code_switches(c: Column) -> Column:
     seen = F.filter(
         F.transform(chars, lambda x, i: F.struct(i.alias("pos"), kind(x).alias("script"))), lambda s: s["script"].isNotNull()
     )
-    before = F.transform(seen, lambda s, i: F.struct(s["pos"].alias("pos"), s["script"].alias("script"), F.get(seen, i - 1)["script"].alias("last")))
-    return F.transform(
-        F.filter(before, lambda s: s["last"].isNotNull() & (s["last"] != s["script"])),
-        lambda s: F.struct(s["pos"].alias("pos"), s["script"].alias("script")),
-    )
+
+    def switches(seen: Column) -> Column:
+        pairs = F.zip_with(
+            seen, F.concat(F.slice(seen, 1, 0), F.array(F.lit(None).cast("struct<pos:int,script:string>")), F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))),
+            lambda own, last: F.struct(own.alias("own"), last["script"].alias("last")),
+        )
+        changed = F.filter(pairs, lambda x: x["own"].isNotNull() & x["last"].isNotNull() & (x["last"] != x["own"]["script"]))
+        return F.transform(changed, lambda x: x["own"])
+
+    return let(seen, switches)
 
 
 def prosody_statistics(c: Column) -> dict[str, Column]:
@@ -146,16 +156,22 @@ def prosody_info(c: Column) -> Column:
     emphasis spans of overlapping patterns are listed by pattern, as found left to right.
     """
     def at(s: str) -> Column:
-        # lengths of the pieces before each occurrence give its position
-        pieces = F.split(c, re.escape(s))
-        ends = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))),
-            lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda n, x: n + F.length(x)) + (i - 1) * len(s),
+        # each piece's end, counted on with the marks before it, is where the next mark stands
+        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"))
+        step = lambda acc, x: F.struct(
+            (acc["n"] + F.length(x) + len(s)).alias("n"), F.concat(acc["ends"], F.array(acc["n"] + F.length(x))).alias("ends")
         )
-        return F.when(F.size(pieces) > 1, ends).otherwise(F.array().cast("array<int>"))
+        ends = F.aggregate(F.split(c, re.escape(s)), start, step, lambda acc: acc["ends"])
+        return F.slice(ends, 1, F.size(ends) - 1)  # the last piece ends with the text
+
+    def pause(p: str, d: str) -> Column:
+        return F.transform(at(p), lambda i: F.struct(i.alias("pos"), F.lit(p).alias("mark"), F.lit(float(d)).alias("pause")))
+
+    def tone(p: str, kind: str) -> Column:
+        return F.transform(at(p), lambda i: F.struct(i.alias("pos"), F.lit(kind).alias("tone")))
 
-    pauses = F.flatten(F.array(*[F.transform(at(p), lambda i, p=p, d=d: F.struct(i.alias("pos"), F.lit(p).alias("mark"), F.lit(float(d)).alias("pause"))) for p, d in t.PAUSES.items()]))
-    tones = F.flatten(F.array(*[F.transform(at(p), lambda i, k=k: F.struct(i.alias("pos"), F.lit(k).alias("tone"))) for p, k in t.INTONATIONS.items()]))
+    pauses = F.flatten(F.array(*[pause(p, d) for p, d in t.PAUSES.items()]))
+    tones = F.flatten(F.array(*[tone(p, k) for p, k in t.INTONATIONS.items()]))
     return F.struct(pauses.alias("pauses"), tones.alias("intonations"), code_switches(c).alias("code_switches"))
 
 
