@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_and_text, per_batch, texts, tokenizer_path
+from quern.llm.common import id_and_text, per_batch, tokenizer_path
 from quern.session import stored
 
 END = (0).to_bytes(4, "little")
@@ -49,19 +49,23 @@ class Ids(dict):
         self.merge = self.tokenizer.model.tokenize
 
     def __missing__(self, chunk: bytes) -> bytes:
+        # only lower-case letters and odd chunks are kept: others are put together from them
         if chunk.isalpha():  # ASCII letters: one pre-token, whose bytes stand for themselves
-            ids = array("I", [t.id for t in self.merge(chunk.lower().decode())]).tobytes()
-        elif chunk[:-1].isalpha() and chunk[-1:] in (b".", b","):  # two pre-tokens
-            ids = self[chunk[:-1]] + array("I", [t.id for t in self.merge(chunk[-1:].decode())]).tobytes()
+            low = chunk.lower()
+            if low != chunk:
+                return self[low]
+            ids = array("I", [t.id for t in self.merge(low.decode())]).tobytes()
+        elif chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():  # two pre-tokens
+            return self[chunk[:-1]] + self[chunk[-1:]]
         else:
             ids = array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
         self[chunk] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
+    def of(self, text: bytes) -> bytes:
         if len(self) > self.memory:
             self.clear()
-        return b"".join(map(self.__getitem__, text.encode().split())) + END
+        return b"".join(map(self.__getitem__, text.split())) + END
 
 
 @lru_cache(2)
@@ -78,7 +82,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> Da
 
         def f(batch: pa.RecordBatch) -> dict:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own = ids.of(text)
                 for k, at in enumerate(range(0, len(own), 4 * capacity)):
                     part = own[at : at + 4 * capacity]
