@@ -3,3 +3,4 @@
 from quern.plans import q_metadata  # noqa: F401
 from quern.plans import q_segments  # noqa: F401
 from quern.plans import q_text  # noqa: F401
+from quern.plans import q_signal  # noqa: F401
