@@ -123,11 +123,11 @@ def p09(spark, sf):
 
 
 @query("p22_structure_check", """SELECT source, list_sort(list_filter(['metadata_train.csv', 'metadata_eval.csv', 'lang.txt', 'wavs'],
-  lambda x: NOT list_contains(list(DISTINCT CASE doc_id % 5 WHEN 0 THEN 'metadata_train.csv' WHEN 1 THEN 'metadata_eval.csv' WHEN 2 THEN 'lang.txt' WHEN 3 THEN 'wavs' ELSE 'x' END), x))) AS missing
-FROM documents WHERE doc_id < 60 GROUP BY source""")
+  lambda x: NOT list_contains(list(DISTINCT CASE n_chars % 7 WHEN 0 THEN 'metadata_train.csv' WHEN 1 THEN 'metadata_eval.csv' WHEN 2 THEN 'lang.txt' WHEN 3 THEN 'wavs' ELSE 'x' END), x))) AS missing
+FROM documents GROUP BY source""")
 def p22(spark, sf):
     names = F.array(*[F.lit(x) for x in ("metadata_train.csv", "metadata_eval.csv", "lang.txt", "wavs", "x")])
-    rows = table(spark, sf, "documents").filter("doc_id < 60").select("source", F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")).alias("name"))
+    rows = table(spark, sf, "documents").select("source", F.element_at(names, (F.least(F.col("n_chars") % 7, F.lit(4)) + 1).cast("int")).alias("name"))
     need = F.array(*[F.lit(x) for x in ("metadata_train.csv", "metadata_eval.csv", "lang.txt", "wavs")])
     return rows.groupBy("source").agg(F.sort_array(F.array_except(need, F.collect_set("name"))).alias("missing"))
 
@@ -547,11 +547,10 @@ def f27(spark, sf):
 
 
 @query("f28_duration_text", """SELECT event_id, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN printf('%dm %ds', w // 60, w % 60) ELSE printf('%dh %dm', w // 3600, w % 3600 // 60) END AS d
-FROM (SELECT event_id, s, CAST(floor(s) AS BIGINT) AS w FROM (SELECT event_id, CAST(event_id % 9000 AS DOUBLE) + 0.25 * (event_id % 4) AS s FROM events)) WHERE event_id % 4 <> 1 AND event_id % 4 <> 3""")
+FROM (SELECT event_id, s, CAST(floor(s) AS BIGINT) AS w FROM (SELECT event_id, CAST(event_id % 9000 AS DOUBLE) + 0.5 * (event_id % 2) AS s FROM events))""")
 def f28(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 4 <> 1 and event_id % 4 <> 3")
-    s = (F.col("event_id") % 9000).cast("double") + F.lit(0.25) * (F.col("event_id") % 4)
-    return e.select("event_id", numbers.duration_text(s).alias("d"))
+    s = (F.col("event_id") % 9000).cast("double") + F.lit(0.5) * (F.col("event_id") % 2)
+    return table(spark, sf, "events").select("event_id", numbers.duration_text(s).alias("d"))
 
 
 @query("f29_iso_display", "SELECT event_id, replace(left(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 19), 'T', ' ') AS shown FROM events")

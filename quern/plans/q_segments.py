@@ -235,9 +235,9 @@ def z02(spark, sf):
     return x.select("source_id", "idx", name.alias("audio_file"), "duration")
 
 
-@query("s08_parse_srt", f"""WITH {_C} SELECT source_id, idx, "start", "end", text FROM cues WHERE source_id < 40""")
+@query("s08_parse_srt", f"""WITH {_C} SELECT source_id, idx, "start", "end", text FROM cues""")
 def s08(spark, sf):
     """Cues are written as SRT text per source, then parsed back."""
     from quern.sources import subtitles
 
-    return subtitles.parse_srt(subtitles.to_srt(v.cues(spark, sf).filter("source_id < 40")))
+    return subtitles.parse_srt(subtitles.to_srt(v.cues(spark, sf)))

@@ -81,37 +81,37 @@ def s07(spark, sf):
     return readers.vocabulary_of(as_map).unionByName(readers.vocabulary_of(as_list))
 
 
-_EV = "e AS (SELECT user_id AS source_id, event_id, CAST(event_id AS DOUBLE) AS s, value FROM events WHERE event_id < 500)"
+_EV = "e AS (SELECT user_id AS source_id, event_id, CAST(event_id AS DOUBLE) AS s, value FROM events)"
 
 
 def _ev(spark, sf):
-    return table(spark, sf, "events").filter("event_id < 500").select(F.col("user_id").alias("source_id"), "event_id", F.col("event_id").cast("double").alias("s"), "value")
+    return table(spark, sf, "events").select(F.col("user_id").alias("source_id"), "event_id", F.col("event_id").cast("double").alias("s"), "value")
 
 
-@query("s10_vtt_to_srt", "SELECT event_id, '1' || chr(10) || '00:00:01,500 --> 00:00:02,000' || chr(10) || 'say 1.5 ' || event_type AS text FROM events WHERE event_id < 500")
+@query("s10_vtt_to_srt", "SELECT event_id, '1' || chr(10) || '00:00:01,500 --> 00:00:02,000' || chr(10) || 'say 1.5 ' || event_type AS text FROM events")
 def s10(spark, sf):
     vtt = F.concat(F.lit("WEBVTT\nKind: captions\nLanguage: am\n1\n00:00:01.500 --> 00:00:02.000\nsay 1.5 "), "event_type")
-    return table(spark, sf, "events").filter("event_id < 500").select("event_id", subtitles.vtt_to_srt(vtt).alias("text"))
+    return table(spark, sf, "events").select("event_id", subtitles.vtt_to_srt(vtt).alias("text"))
 
 
-@query("s11_timedtext", "SELECT event_id AS source_id, event_id + 0.5::DOUBLE AS \"start\", event_id + 2.0::DOUBLE AS \"end\", 'a & ' || event_type AS text FROM events WHERE event_id < 500")
+@query("s11_timedtext", "SELECT event_id AS source_id, event_id + 0.5::DOUBLE AS \"start\", event_id + 2.0::DOUBLE AS \"end\", 'a & ' || event_type AS text FROM events")
 def s11(spark, sf):
     xml = F.concat(F.lit('<transcript><text start="'), "event_id", F.lit('.5" dur="1.5">a &amp; '), "event_type", F.lit('</text><text start="1" dur="1"> </text></transcript>'))
-    docs = table(spark, sf, "events").filter("event_id < 500").select(F.col("event_id").alias("source_id"), xml.alias("text"))
+    docs = table(spark, sf, "events").select(F.col("event_id").alias("source_id"), xml.alias("text"))
     return subtitles.parse_timedtext(docs).select("source_id", "start", "end", "text")
 
 
-@query("s12_json3", "SELECT event_id AS source_id, CAST(event_id AS DOUBLE) AS \"start\", event_id + 0.25::DOUBLE AS \"end\", 'hi ' || event_type AS text FROM events WHERE event_id < 500")
+@query("s12_json3", "SELECT event_id AS source_id, CAST(event_id AS DOUBLE) AS \"start\", event_id + 0.25::DOUBLE AS \"end\", 'hi ' || event_type AS text FROM events")
 def s12(spark, sf):
     doc = F.concat(F.lit('{"events":[{"tStartMs":'), (F.col("event_id") * 1000).cast("string"), F.lit(',"dDurationMs":250,"segs":[{"utf8":"hi "},{"utf8":"'), "event_type", F.lit('"}]},{"tStartMs":5}]}'))
-    docs = table(spark, sf, "events").filter("event_id < 500").select(F.col("event_id").alias("source_id"), doc.alias("text"))
+    docs = table(spark, sf, "events").select(F.col("event_id").alias("source_id"), doc.alias("text"))
     return subtitles.parse_json3(docs).select("source_id", "start", "end", "text")
 
 
-@query("s13_is_srt", "SELECT event_id, event_id % 2 = 0 AS srt FROM events WHERE event_id < 500")
+@query("s13_is_srt", "SELECT event_id, event_id % 2 = 0 AS srt FROM events")
 def s13(spark, sf):
     t = F.when(F.col("event_id") % 2 == 0, "1\n00:00:01,000 --> 00:00:02,000\nx").otherwise("WEBVTT\n00:00:01.000 --> 00:00:02.000")
-    return table(spark, sf, "events").filter("event_id < 500").select("event_id", subtitles.is_srt(t).alias("srt"))
+    return table(spark, sf, "events").select("event_id", subtitles.is_srt(t).alias("srt"))
 
 
 @query("s14_transcript_rows", f"WITH {_EV} SELECT source_id, event_id, s AS \"start\", s + value AS \"end\" FROM e")

@@ -50,11 +50,11 @@ def _am(n: str) -> str:
     return f"CASE WHEN {n} = 0 THEN 'ዜሮ' ELSE trim({millions} || {thousands} || {_am3(r)}) END"
 
 
-_MARKED = f"""marked AS (SELECT doc_id, lang, text, CAST(doc_id % 9 AS VARCHAR) || ' ' || {_q('ዓ.ም ዶ/ር ሀሎ ሥራ፡ቤት 3+4 $50 25% 7°C ')} || substr(text, 1, 200) AS own FROM fidel)"""
+_MARKED = f"""marked AS (SELECT doc_id, lang, text, CAST(doc_id % 9 AS VARCHAR) || ' ' || {_q('ዓ.ም ዶ/ር ሀሎ ሥራ፡ቤት 3+4 $50 25% 7°C ')} || text AS own FROM fidel)"""
 
 
 def _marked(spark, sf):
-    own = F.concat((F.col("doc_id") % 9).cast("string"), F.lit(" ዓ.ም ዶ/ር ሀሎ ሥራ፡ቤት 3+4 $50 25% 7°C "), F.substring("text", 1, 200))
+    own = F.concat((F.col("doc_id") % 9).cast("string"), F.lit(" ዓ.ም ዶ/ር ሀሎ ሥራ፡ቤት 3+4 $50 25% 7°C "), F.col("text"))
     return v.fidel(spark, sf).withColumn("own", own)
 
 
@@ -185,9 +185,9 @@ def f21(spark, sf):
     return table(spark, sf, "part").select("p_partkey", numbers.expand_digits(s).alias("text"))
 
 
-@query("f22_expand_grouped", f"SELECT p_partkey, 'ab ' || {_am('(p_partkey * 1000 + 7)')} || ' c ' || {_am('p_size')} AS text FROM part WHERE p_partkey BETWEEN 1 AND 999")
+@query("f22_expand_grouped", f"SELECT p_partkey, 'ab ' || {_am('(p_partkey * 1000 + 7)')} || ' c ' || {_am('p_size')} AS text FROM part")
 def f22(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey between 1 and 999")
+    p = table(spark, sf, "part")
     s = F.concat(F.lit("ab "), F.format_number(F.col("p_partkey") * 1000 + 7, 0), F.lit(" c "), F.col("p_size").cast("string"))
     return p.select("p_partkey", numbers.expand_grouped(s).alias("text"))
 
@@ -287,11 +287,11 @@ def _prosody_sql(c: str) -> str:
     return c
 
 
-_HEAD = "h AS (SELECT doc_id, substr(text, 1, 400) || ' **so** _it_ OK!!' AS s FROM documents)"
+_HEAD = "h AS (SELECT doc_id, text || ' **so** _it_ OK!!' AS s FROM documents)"
 
 
 def _head(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 400), F.lit(" **so** _it_ OK!!")).alias("s"))
+    return table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" **so** _it_ OK!!")).alias("s"))
 
 
 @query("f45_prosody_markers", f"WITH {_HEAD} SELECT doc_id, {_prosody_sql('s')} AS text FROM h")
@@ -342,24 +342,24 @@ def a12(spark, sf):
     return _marked(spark, sf).select("doc_id", *[n.cast("long").alias(k) for k, n in x.script_counts(c).items()], x.dominant_script(c).alias("script"))
 
 
-_MIX = "m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ab ሰላም 12 cd' ELSE 'ሀለ, ሐ xy' END || CAST(doc_id % 5 AS VARCHAR) || substr(text, 1, doc_id % 4 + 1) AS s FROM fidel)"
+_MIX = "m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ab ሰላም 12 cd' ELSE 'ሀለ, ሐ xy' END || CAST(doc_id % 5 AS VARCHAR) || text AS s FROM fidel)"
 
 
 def _mix(spark, sf):
     head = F.when(F.col("doc_id") % 2 == 0, "ab ሰላም 12 cd").otherwise("ሀለ, ሐ xy")
-    return v.fidel(spark, sf).select("doc_id", F.concat(head, (F.col("doc_id") % 5).cast("string"), F.substr("text", F.lit(1), (F.col("doc_id") % 4 + 1).cast("int"))).alias("s"))
+    return v.fidel(spark, sf).select("doc_id", F.concat(head, (F.col("doc_id") % 5).cast("string"), "text").alias("s"))
 
 
-@query("w18_code_switches", f"""WITH {v.FIDEL_SQL}, {_MIX}, c AS (SELECT doc_id, unnest(range(length(s))) AS pos, s FROM m),
-k AS (SELECT doc_id, pos, CASE WHEN regexp_matches(s[pos + 1], '[\\x{{1200}}-\\x{{137F}}]') THEN 'ethiopic' WHEN regexp_matches(s[pos + 1], '\\p{{L}}') THEN 'latin' END AS script FROM c),
+@query("w18_code_switches", f"""WITH {v.FIDEL_SQL}, {_MIX}, c AS (SELECT doc_id, unnest(range(length(s))) AS pos, unnest(string_split(s, '')) AS ch FROM m),
+k AS (SELECT doc_id, pos, CASE WHEN regexp_matches(ch, '[\\x{{1200}}-\\x{{137F}}]') THEN 'ethiopic' WHEN regexp_matches(ch, '\\p{{L}}') THEN 'latin' END AS script FROM c),
 l AS (SELECT *, lag(script) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM k WHERE script IS NOT NULL) SELECT doc_id, pos, script FROM l WHERE last IS NOT NULL AND last <> script""")
 def w18(spark, sf):
     e = _mix(spark, sf).select("doc_id", F.explode(x.code_switches(F.col("s"))).alias("c"))
     return e.select("doc_id", F.col("c.pos").cast("long").alias("pos"), "c.script")
 
 
-@query("w19_script_runs", f"""WITH {v.FIDEL_SQL}, {_MIX}, c AS (SELECT doc_id, unnest(range(length(s))) AS pos, s FROM m),
-k AS (SELECT doc_id, pos, s[pos + 1] AS ch, CASE WHEN regexp_matches(s[pos + 1], '[\\x{{1200}}-\\x{{137F}}]') THEN 'ethiopic' WHEN regexp_matches(s[pos + 1], '[A-Za-z]') THEN 'latin' END AS script FROM c),
+@query("w19_script_runs", f"""WITH {v.FIDEL_SQL}, {_MIX}, c AS (SELECT doc_id, unnest(range(length(s))) AS pos, unnest(string_split(s, '')) AS ch FROM m),
+k AS (SELECT doc_id, pos, ch, CASE WHEN regexp_matches(ch, '[\\x{{1200}}-\\x{{137F}}]') THEN 'ethiopic' WHEN regexp_matches(ch, '[A-Za-z]') THEN 'latin' END AS script FROM c),
 f AS (SELECT *, last_value(script IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
 r AS (SELECT *, sum(CASE WHEN script IS NOT NULL AND before IS NOT NULL AND script <> before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f)
 SELECT doc_id, CAST(run AS BIGINT) AS run, string_agg(ch, '' ORDER BY pos) AS text, max(script) AS script FROM r GROUP BY doc_id, run""")
@@ -382,9 +382,9 @@ def _lang_symbols(c: str, words) -> str:
     return f"trim({c})"
 
 
-@query("f51_symbols", "WITH s AS (SELECT doc_id, lang, substr(text, 1, 300) || ' & 50% #1 @x' AS s FROM documents) SELECT doc_id, CASE lang " + " ".join(f"WHEN '{k}' THEN {_lang_symbols('s', t.LANG_SYMBOLS[k])}" for k in ("en", "es", "fr", "de")) + " END AS text FROM s")
+@query("f51_symbols", "WITH s AS (SELECT doc_id, lang, text || ' & 50% #1 @x' AS s FROM documents) SELECT doc_id, CASE lang " + " ".join(f"WHEN '{k}' THEN {_lang_symbols('s', t.LANG_SYMBOLS[k])}" for k in ("en", "es", "fr", "de")) + " END AS text FROM s")
 def f51(spark, sf):
-    s = F.concat(F.substring("text", 1, 300), F.lit(" & 50% #1 @x"))
+    s = F.concat("text", F.lit(" & 50% #1 @x"))
     return table(spark, sf, "documents").select("doc_id", cleaners.symbols(s, F.col("lang")).alias("text"))
 
 
@@ -415,12 +415,12 @@ def f55(spark, sf):
 def _lookup_sql(c: str) -> str:
     keys = "".join(t.phonemes())
     values = _list(t.phonemes().values())
-    return f"list_reduce(list_transform(string_split({c}, ''), lambda ch: CASE WHEN instr('{keys}', ch) > 0 THEN {values}[instr('{keys}', ch)] WHEN regexp_matches(ch, '^[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}]$') THEN ' ' ELSE ch END), lambda a, b: a || b)"
+    return f"array_to_string(list_transform(string_split({c}, ''), lambda ch: CASE WHEN instr('{keys}', ch) > 0 THEN {values}[instr('{keys}', ch)] WHEN regexp_matches(ch, '^[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}]$') THEN ' ' ELSE ch END), '')"
 
 
-@query("f60_phoneme_lookup", f"WITH {v.FIDEL_SQL} SELECT doc_id, {_lookup_sql('substr(text, 1, 300)')} AS ipa FROM fidel")
+@query("f60_phoneme_lookup", f"WITH {v.FIDEL_SQL} SELECT doc_id, {_lookup_sql('text')} AS ipa FROM fidel")
 def f60(spark, sf):
-    return v.fidel(spark, sf).select("doc_id", g2p.lookup(F.substring("text", 1, 300)).alias("ipa"))
+    return v.fidel(spark, sf).select("doc_id", g2p.lookup(F.col("text")).alias("ipa"))
 
 
 @query("f62_epenthesis")
@@ -467,9 +467,9 @@ def f69(spark, sf):
     return table(spark, sf, "documents").select("doc_id", g2p.padded(ids, 12).alias("ids"), g2p.attention_mask(ids, 12).alias("mask"))
 
 
-@query("f70_bpe_strings", "SELECT doc_id, replace('[' || lang || ']' || substr(text, 1, 100), ' ', '[SPACE]') AS input, '[' || lang || ']' || substr(text, 1, 100) AS output FROM documents")
+@query("f70_bpe_strings", "SELECT doc_id, replace('[' || lang || ']' || text, ' ', '[SPACE]') AS input, '[' || lang || ']' || text AS output FROM documents")
 def f70(spark, sf):
-    i = g2p.bpe_input(F.substring("text", 1, 100), F.concat("lang", F.lit("-XX")))
+    i = g2p.bpe_input(F.col("text"), F.concat("lang", F.lit("-XX")))
     return table(spark, sf, "documents").select("doc_id", i.alias("input"), g2p.bpe_output(i).alias("output"))
 
 
