@@ -94,39 +94,42 @@ def _kept_text(text: Column, dropped: Column) -> Column:
 
 
 def _joined(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """docs with two more columns, named so that they cannot clash: __kept and __n_dropped."""
-    maps = stored(drop_bitmaps(docs, min_chars, min_docs), "keep-bitmaps").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("dropped").alias("__dropped")
+    """row (all columns of docs as one struct, so that no name clashes), kept and n_dropped."""
+    maps = stored(drop_bitmaps(docs, min_chars, min_docs), "keep-bitmaps")
+    wide = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"),
     )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    wide = docs.withColumn("__text_key", F.xxhash64(text))
-    hit = wide["doc_id"].cast("long").eqNullSafe(maps["__id"]) & (wide["__text_key"] == maps["__key"])
+    hit = wide["doc_id"].eqNullSafe(maps["doc_id"]) & (wide["text_key"] == maps["text_key"])
     bit_count = F.aggregate(
-        F.map_values("__dropped"), F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b).cast("long")
+        F.map_values("dropped"), F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b).cast("long")
     )
-    return (
-        wide.join(maps.hint("merge"), hit, "left")  # the maps grow with the texts: one way at every size
-        .withColumn("__n_dropped", F.coalesce(bit_count, F.lit(0).cast("long")))
-        .withColumn("__kept", _kept_text(text, F.col("__dropped")))
+    text = F.coalesce(F.col("row").getField("text"), F.lit(""))
+    # the maps grow with the texts: one way of joining at every size
+    return wide.join(maps.hint("merge"), hit, "left").select(
+        "row",
+        _kept_text(text, F.col("dropped")).alias("kept"),
+        F.coalesce(bit_count, F.lit(0).cast("long")).alias("n_dropped"),
     )
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs, same columns, without the repeated lines; n_chars, if present, is recounted."""
     out = _joined(docs, min_chars, min_docs)
-    new = {"text": F.col("__kept")} | (
-        {"n_chars": F.length("__kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    new = {"text": F.col("kept")} | (
+        {"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     )
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped and kept_sha256 of the text that stays."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("row").getField("text"), F.lit(""))
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return _joined(docs.select("doc_id", "text"), min_chars, min_docs).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("row").getField("doc_id").cast("long").alias("doc_id"),
         lines.cast("long").alias("n_lines"),
-        F.col("__n_dropped").alias("n_dropped"),
-        F.sha2(F.col("__kept"), 256).alias("kept_sha256"),
+        "n_dropped",
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"),
     )
