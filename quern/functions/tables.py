@@ -90,6 +90,40 @@ def phonemes() -> dict[str, str]:
     return out | PUNCTUATION
 
 
+#: The fallback's forms by letter, where the fifth differs from the table's.
+LABIOVELAR_FALLBACK = {"ቈ": "qʷ", "ኰ": "kʷ", "ጐ": "gʷ", "ዀ": "xʷ"}
+LABIOVELAR_FALLBACK_FORMS = ((0, "ə"), (2, "u"), (3, "a"), (4, "e"), (5, "ɨ"))
+
+
+def labiovelars_fallback() -> dict[str, str]:
+    return {chr(ord(c) + i): p + v for c, p in LABIOVELAR_FALLBACK.items() for i, v in LABIOVELAR_FALLBACK_FORMS}
+
+
+# --- the older, smaller profile -----------------------------------------------------------------
+#: Its labiovelars stand apart; the last row is that of another letter.
+BASIC_LABIOVELARS = {"ቈ": "qʷ", "ኰ": "kʷ", "ጐ": "gʷ", "ኸ": "xʷ"}
+BASIC_VARIANTS = (("ሥ", "ስ"), ("ዕ", "እ"), ("ፅ", "ጽ"), ("ኅ", "ህ"), ("ኽ", "ክ"), ("ሕ", "ህ"), ("ዐ", "አ"), ("ኣ", "አ"))
+BASIC_WORDS = {"ሰላም": "səlam"}
+#: Bare consonants, then rows of which it knows every vowel, then letters read with ə.
+BASIC_BARE = {"ህ": "h", "ሐ": "h", "ሠ": "s", "ኀ": "h"}
+BASIC_ROWS = "ሀለመረሰሸበተነከወዘየደገፈ"
+BASIC_FIRST = "ለመረሰሸቀበተቸነኘአከኸወዐዘዠየደጀገጠጨጰጸፀፈፐ"
+BASIC_SIXTH = "ልምርስሽቅብትችንኝእክውዕዝዥይድጅግጥጭጵጽፍፕ"
+
+
+def basic_phonemes() -> dict[str, str]:
+    out = dict(BASIC_BARE)
+    out |= {c: CONSONANTS[c] + "ə" for c in BASIC_FIRST}
+    out |= {c: CONSONANTS[chr(ord(c) - 5)] + "ə" for c in BASIC_SIXTH}
+    return out | {chr(ord(c) + i): CONSONANTS[c] + VOWELS[i] for c in BASIC_ROWS for i in (1, 2, 3, 4, 6)}
+
+
+def basic_labiovelars() -> dict[str, str]:
+    """Forms 3, 5, 2, 4 and 0 of a row; the last row is a plain one, of orders 3, 5, 2, 4 and 0."""
+    forms = ((3, "a"), (5, "ɨ"), (2, "u"), (4, "e"), (0, "i"))
+    return {chr(ord(c) + i): p + v for c, p in BASIC_LABIOVELARS.items() for i, v in forms}
+
+
 # --- fixed values: phonological patterns ------------------------------------------------------
 EPENTHESIS = (
     "([kgqxKGQX])([bcdfghjklmnpqrstvwxyzʃʒʔʕʼBCDFGHJKLMNPQRSTVWXYZʃʒʔʕʼ])",

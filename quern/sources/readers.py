@@ -180,3 +180,32 @@ def checkpoints(df: DataFrame) -> DataFrame:
         paths.parent(F.col("path")).alias("run"), "path", paths.step_of(name).alias("step"),
         F.contains(name, F.lit("best_model")).alias("is_best"), (F.col("length") / 1048576).alias("mb"), F.col("modificationTime").alias("modified"),
     )
+
+
+def tokenizer_uses_phonemes(spark: SparkSession, path: str, use_phonemes: bool | None = None) -> bool:
+    """The caller's word, else the stored one, else False."""
+    if use_phonemes is not None:
+        return use_phonemes
+    try:
+        rows = spark.read.schema("use_phonemes boolean").json(path).limit(1).collect()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+    return bool(rows and rows[0]["use_phonemes"])
+
+
+def preferred_files(names: list[str], kind: str) -> list[str]:
+    """The filtered files of a kind (train, eval), or any of the kind if none is filtered."""
+    own = [n for n in names if kind in n and n.endswith(".csv")]
+    return sorted(n for n in own if "filtered" in n[n.index(kind) :]) or sorted(own)
+
+
+def chosen_backend(available: list[str], preferred: str | None = None, fallback: bool = True) -> str | None:
+    """The preferred one if available, else the first by priority, or none without fallback."""
+    if not available:
+        return None
+    want = preferred and preferred.lower().replace("-", "_").replace(" ", "_")
+    if want is None or want in available:
+        return want or available[0]
+    return available[0] if fallback else None

@@ -81,3 +81,7 @@ def summary_lines(df: DataFrame) -> list[str]:
     """Readable lines of a one-row result."""
     row = df.first()
     return [f"{k}: {v:.2f}" if isinstance(v, float) else f"{k}: {v}" for k, v in row.asDict().items()] if row else ["no rows"]
+
+
+def tokenizer_config(spark, path: str, use_phonemes: bool) -> None:
+    report(spark.range(1).select(F.lit(use_phonemes).alias("use_phonemes")), path)
