@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numbers, text
 from quern.functions import tables as t
-from quern.functions.text import let
+from quern.functions.text import let, strings
 
 #: English numerals.
 EN_ONES = (
@@ -20,7 +20,7 @@ EN_ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth
 
 
 def _pick(pool, i: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, pool)), i.cast("int") + 1)
+    return F.element_at(strings(pool), i.cast("int") + 1)
 
 
 def _en_below_thousand(n: Column) -> Column:

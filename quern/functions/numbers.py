@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import tables as t
-from quern.functions.text import let
+from quern.functions.text import let, strings
 
 
 def _words(pool: tuple[str, ...], i: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, pool)), i.cast("int") + 1)
+    return F.element_at(strings(pool), i.cast("int") + 1)
 
 
 def _some(c: Column) -> Column:
@@ -87,10 +87,13 @@ def expand_decimals(c: Column) -> Column:
     """Integers and decimals; decimal digits are spoken one by one after the point's word."""
 
     def spoken(s: Column) -> Column:
-        whole, digits = F.split_part(s, F.lit("."), F.lit(1)), F.split_part(s, F.lit("."), F.lit(2))
-        each = F.filter(F.split(digits, ""), lambda d: d != "")
-        tail = F.array_join(F.transform(each, expand_number), " ")
-        return F.when(F.contains(s, F.lit(".")), F.concat(expand_number(whole), F.lit(f" {t.POINT} "), tail)).otherwise(expand_number(s))
+        digits = F.filter(F.split(F.split_part(s, F.lit("."), F.lit(2)), ""), lambda d: d != "")
+        parts = F.concat(F.array(F.split_part(s, F.lit("."), F.lit(1))), digits)
+        point = F.contains(s, F.lit("."))
+        said = lambda w: F.when(
+            point, F.concat(F.get(w, F.lit(0)), F.lit(f" {t.POINT} "), F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), " "))
+        ).otherwise(F.get(w, F.lit(0)))
+        return let(F.transform(parts, expand_number), said)
 
     return replace_matches(c, r"\d+\.?\d*", spoken)
 

@@ -18,6 +18,11 @@ def let(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def strings(values) -> Column:
+    """An array literal of strings as one node, which planning folds, instead of a node for each."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space, also beyond ASCII, become one space; none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
