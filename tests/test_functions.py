@@ -327,3 +327,27 @@ def test_vocabulary_ids_continue(spark):
     v = spark.createDataFrame([("b", 4), ("a", 7)], "token string, id int")
     c = spark.createDataFrame([("z",), ("a",), ("c",), ("z",)], "token string")
     assert {(r.token, r.id) for r in vocab.extended(v, c).collect()} == {("b", 4), ("a", 7), ("c", 8), ("z", 9)}
+
+
+def test_small_profile(spark):
+    assert len(t.basic_labiovelars()) == 20 and t.basic_labiovelars()["ኽ"] == "xʷɨ" and t.basic_labiovelars()["ቈ"] == "qʷi"
+    assert each(spark, g2p.basic_convert, ["ሰላም ለማ", "ቋንቋ", "ሀ", ""]) == ["səlam ləma", " qʷa nə qʷa ", "ሀ", ""]
+    assert one(spark, g2p.labiovelars(F.lit("ቍ ኳ"))) == "qʷɨ kʷa"
+
+
+def test_speech_slices_keep_order_and_time(spark):
+    rng = random.Random(4)
+    groups = [cues(rng) for _ in range(20)]
+    a, b = cue_frame(spark, groups).filter("idx % 2 = 0"), cue_frame(spark, groups).filter("idx % 2 = 1")
+    cut = segments.split_long(a, b, 4.0)
+    whole = {(r.source_id, r.idx): r.end - r.start for r in a.collect()}
+    parts = {}
+    for r in cut.collect():
+        assert r.end > r.start
+        parts[(r.source_id, r.idx)] = parts.get((r.source_id, r.idx), 0) + r.end - r.start
+    assert {k: round(v, 6) for k, v in parts.items()} == {k: round(v, 6) for k, v in whole.items()}
+
+
+def test_choices():
+    assert readers.chosen_backend([]) is None and readers.chosen_backend(["a", "b"], "B") == "b" and readers.chosen_backend(["a"], "b", False) is None
+    assert readers.preferred_files(["d_train.csv"], "train") == ["d_train.csv"]
