@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.text import let
+
 
 def char_ngrams(df: DataFrame, longest: int = 3) -> DataFrame:
-    """token, n over all characters 1-, 2- and 3-grams of text; blanks are not tokens of one character.
+    """token, n over all character 1-, 2- and 3-grams of text.
 
-    Partial counts are made before any shuffle.
+    A text is split into characters once and n-grams are joined by index, so long texts cost no more a
+    character. Partial counts are made before any shuffle.
     """
-    def of(k: int) -> Column:
-        n = F.length("text")
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(F.col("text"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
-    grams = F.flatten(F.array(*[of(k) for k in range(1, longest + 1)]))
-    return df.select(F.explode(grams).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    def grams(chars: Column) -> Column:
+        def of(k: int) -> Column:
+            last = F.size(chars) - k
+            joined = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + j) for j in range(k)]))
+            return F.when(last >= 0, joined).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(chars, *[of(k) for k in range(2, longest + 1)])
+
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    return df.select(F.explode(let(chars, grams)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def top_tokens(counts: DataFrame, least: int, top: int) -> DataFrame:
