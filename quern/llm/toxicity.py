@@ -191,8 +191,8 @@ def learn(
         id_and_text(docs)
         # at most max_toxic + max_clean rows are sent
         .join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+        .repartition("label_id")  # not by text: copies spread
         .select("text", F.col("toxic").cast("int").alias("toxic"))
-        .repartition(F.xxhash64("text"))
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
