@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fold, id_and_text, texts
+from quern.llm.common import fold, id_and_text, sliced, texts
 from quern.session import stored
 
 def words_of(text: str) -> list[bytes]:
@@ -135,7 +135,7 @@ def _worker_model(shared) -> Model:
     return _ready[m.key]
 
 
-def word_counts(docs: DataFrame, modulus: int, held_out: int, memory: int = 300_000) -> DataFrame:
+def word_counts(docs: DataFrame, modulus: int, held_out: int, memory: int = 150_000) -> DataFrame:
     """(word, n) over the training documents; the null word is the end of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def word_counts(docs: DataFrame, modulus: int, held_out: int, memory: int = 300_
                 [pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"]
             )
 
-        for b in batches:
+        for b in sliced(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 if fold(doc, modulus) != held_out:
                     held.update(words_of(text))
@@ -179,7 +179,7 @@ def symbol_counts(docs: DataFrame, words: list[bytes], endings: list[bytes], mod
                 pairs[:] += np.bincount(np.concatenate(held), minlength=len(pairs))
             held, room = [], 1 << 20
 
-        for b in batches:
+        for b in sliced(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 if fold(doc, modulus) == held_out:
                     continue
@@ -256,7 +256,7 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
                 own.clear()
             return b
 
-        for b in batches:
+        for b in sliced(batches):
             for row, doc, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), texts(b), strict=True):
                 own = words_of(text)
                 at = np.array([get(w, -1) for w in own], np.int64)
