@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import line_dedup, packing, quality, simhash, toxicity
+from quern.llm import line_dedup, near_copies, packing, quality, toxicity
 from quern.session import stored, table
 
 
@@ -29,8 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each class of texts linked by a similarity of 0.8 of their five-word shingles, the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
