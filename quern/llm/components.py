@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quern.session import shared_dir
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of long ids -> (node, component): the smallest id reachable, for linked nodes.
 
     Self-links, repeated links and nulls are ignored; an empty table gives an empty result.
@@ -27,7 +27,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .checkpoint()
     )
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour of u is linked to u's least neighbour
@@ -48,7 +48,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

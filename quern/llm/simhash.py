@@ -8,12 +8,13 @@ radius. Buckets over ``tile`` fingerprints are cut into tiles and spread as tile
 task gathers a group; each task returns a star per connected set, never all pairs.
 
 Equal fingerprints are merged before any comparison; classes come from distributed connected
-components over the distinct ones.
+components over the distinct ones, so rows that share a fingerprint share a component.
 
 Defined results:
 * null or empty text, or blanks only: fingerprint zero, linked like any other.
 * ties and repeated rows: one result row for each input row.
-* null doc_id: never a component's id unless a component has no other; then it is null.
+* null doc_id: links like any other row; never a component's id unless a component has no other,
+  then it is null. A doc_id whose rows have different texts is in the component of each.
 * other columns are ignored.
 """
 
@@ -200,6 +201,36 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: What a group of rows that are compared with one another shares.
+KEYS = ("mask", "bucket", "tile_a", "tile_b")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by the keys, cut between groups only, with the number of each row's group."""
+
+    def numbered(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        for c in keys:
+            x = rows.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.cumsum(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        group = numbered(rows)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield rows.slice(0, cut), group[:cut]
+        held = rows.slice(cut).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, numbered(rows)
+
+
 def _compare(radius: int):
     """Streams rows sorted by bucket and tile pair; only one bucket's rows are held at a time."""
 
@@ -224,48 +255,25 @@ def _compare(radius: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table):
-            k = [rows.column(c).to_numpy() for c in ("mask", "bucket", "tile_a", "tile_b")]
-            new = np.zeros(rows.num_rows, bool)
-            for x in k:
-                new[1:] |= x[1:] != x[:-1]
+        for rows, group in whole_groups(batches, KEYS):
             fps = rows.column("fp").to_numpy().view(np.uint64)
-            part = rows.column("part").to_numpy()
-            for a, b in links(np.cumsum(new), part, k[2] == k[3], fps, 48):
+            lone = rows.column("tile_a").to_numpy() == rows.column("tile_b").to_numpy()
+            for a, b in links(group, rows.column("part").to_numpy(), lone, fps, 48):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            last = [rows.column(c)[-1].as_py() for c in ("mask", "bucket", "tile_a", "tile_b")]
-            same = np.ones(rows.num_rows, bool)
-            for c, v in zip(("mask", "bucket", "tile_a", "tile_b"), last, strict=True):
-                same &= rows.column(c).to_numpy() == v
-            cut = int(np.argmax(same))
-            if cut:
-                yield from flush(rows.slice(0, cut))
-            held = rows.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
-    """(a, b): links that connect every two of the distinct fingerprints ``fp`` within the radius."""
-    masks = [F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bucket")) for i, m in enumerate(block_masks(radius))]
-    rows = fps.select("fp", F.explode(F.array(*masks)).alias("m")).select("fp", "m.mask", "m.bucket")
-    shared = rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.expr("cast(pmod(xxhash64(fp), tiles) as int)")
+def tiled(rows: DataFrame, shared: DataFrame, tile: int, columns: tuple[str, ...]) -> DataFrame:
+    """rows of the buckets in shared (mask, bucket, n), dealt out by bucket and pair of tiles and sorted by it.
+
+    part is 0 for the rows of the first tile of a pair, 1 for those of the second.
+    """
+    own = F.expr(f"cast(pmod(xxhash64({columns[0]}), tiles) as int)")
     placed = (
         rows.join(shared, ["mask", "bucket"])
-        .withColumn("tiles", tiles)
+        .withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
@@ -274,25 +282,30 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = 2048) -> Data
             F.least("own", "other").alias("tile_a"),
             F.greatest("own", "other").alias("tile_b"),
             (F.col("own") > F.col("other")).cast("int").alias("part"),
-            "fp",
+            *columns,
         )
     )
-    key = ["mask", "bucket", "tile_a", "tile_b"]
-    return placed.repartition(*key).sortWithinPartitions(*key, "part").mapInArrow(_compare(radius), "a long, b long")
+    return placed.repartition(*KEYS).sortWithinPartitions(*KEYS, "part")
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
+    """(a, b): links that connect every two of the distinct fingerprints ``fp`` within the radius."""
+    masks = [F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bucket")) for i, m in enumerate(block_masks(radius))]
+    rows = fps.select("fp", F.explode(F.array(*masks)).alias("m")).select("fp", "m.mask", "m.bucket")
+    shared = rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return tiled(rows, shared, tile, ("fp",)).mapInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed long), component_id (smallest doc_id reachable)."""
     rows = stored(fingerprints(docs), "simhash")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    edges = fingerprint_links(nodes.select("fp"), radius, tile).distinct()
-    a, b = nodes.select(F.col("fp").alias("a"), F.col("least").alias("la")), nodes.select(F.col("fp").alias("b"), F.col("least").alias("lb"))
-    by_doc = edges.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    classes = components(by_doc)
-    known = nodes.join(classes, nodes["least"] == classes["node"], "left").select(
-        "fp", F.coalesce("component", "least").alias("component_id")
-    )
-    known = stored(known, "simhash-classes")
+    classes = components(fingerprint_links(nodes.select("fp"), radius, tile))
+    # classes are of fingerprints, so rows without a doc_id link others too
+    known = nodes.join(classes, nodes["fp"] == classes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    known = stored(known, "simhash-parts")
+    ids = known.groupBy("part").agg(F.min("least").alias("component_id"))
+    known = stored(known.join(ids, "part").select("fp", "component_id"), "simhash-classes")
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -302,15 +315,3 @@ def hex16(fp) -> F.Column:
 
 def simhash_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs, same columns, with the document of the smallest doc_id of each class; a row repeated
-    under that doc_id stays once. Rows without a doc_id go unless their class has no other."""
-    found = near_duplicates(docs, radius)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
-    kept = stored(kept, "simhash-kept")
-    # the ids grow with the texts: one way of joining at every size
-    one = docs["doc_id"].cast("long").eqNullSafe(kept["__kept_id"])
-    out = docs.join(kept.hint("merge"), one, "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.filter("__rows > 1").take(1) else out

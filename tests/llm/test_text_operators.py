@@ -87,12 +87,36 @@ def test_simhash(docs, empty, spark):
     want = sorted([(i, f"{f:016x}", by[f]) for i, f in own], key=str)
     assert rows(simhash.simhash_report(docs), "doc_id", "fingerprint", "component_id") == want
     assert rows(simhash.near_duplicates(docs, tile=4).select("doc_id", "component_id"), "doc_id", "component_id") == sorted([(a, c) for a, _, c in want], key=str)
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({c for _, _, c in want}, key=str)
     assert simhash.simhash_report(empty).count() == 0
 
 
+def test_simhash_rows_without_an_id_link_others(spark):
+    """1 and 2 meet only through a row without doc_id; texts under one doc_id stay in their own classes."""
+    rng = random.Random(8)
+    found = {}
+    for _ in range(4000):  # short texts, so that a word moves few bits
+        t = " ".join(rng.choice("abcdefgh") for _ in range(3))
+        found.setdefault(fingerprint(t), t)
+    words_, chain = [sentence(rng, 60).split() for _ in range(20)], None
+    for w in words_:
+        a = " ".join(w)
+        for _ in range(400):
+            b, c = list(w), list(w)
+            b[rng.randrange(60)] = "x"
+            c[rng.randrange(60)] = "x"
+            f = [fingerprint(" ".join(x)) for x in (b, w, c)]
+            if (f[0] ^ f[1]).bit_count() <= 3 >= (f[1] ^ f[2]).bit_count() and (f[0] ^ f[2]).bit_count() > 3:
+                chain = (" ".join(b), a, " ".join(c))
+                break
+        if chain:
+            break
+    far = [sentence(rng, 50), sentence(rng, 50)]
+    own = [(1, chain[0]), (None, chain[1]), (2, chain[2]), (None, chain[1]), (7, far[0]), (7, far[1]), (8, far[1]), (None, sentence(rng, 50))]
+    got = simhash.near_duplicates(spark.createDataFrame(own, "doc_id long, text string"))
+    want = [(1, 1), (None, 1), (2, 1), (None, 1), (7, 7), (7, 7), (8, 7), (None, None)]
+    assert rows(got, "doc_id", "component_id") == sorted(want, key=str)
+
+
 def test_simhash_hot_bucket_is_tiled(spark):
     """Many fingerprints in one bucket: tiles, chains and singles against brute force."""
     import random
