@@ -1,14 +1,16 @@
 """Byte-level BPE by the tiktoken library from a local rank file.
 
-Long texts are split at boundaries where no match of the pattern can cross, so the library never
-sees more than ``span`` characters at once where such a boundary exists. Decoding joins the raw
-bytes of the ids, so every text comes back byte for byte.
+Long texts are split at boundaries where no match of the pattern can cross, so the library seldom
+sees more than ``span`` characters at once. A part that is longer for want of such boundaries (a long
+run of blanks or of one script without blanks) is split into the pattern's matches by ``regex``, and the
+library merges each alone: its own splitter fails on runs of a million blanks. The ids are the same
+either way. Decoding joins the raw bytes of the ids, so every text comes back byte for byte.
 
 A cut is safe right before a blank that follows a letter or digit and precedes a letter or digit:
 a match that reaches the blank from the left has ended there, and the next match starts with it.
 
-Defined results: null text: as the empty one, no ids; a text without a safe boundary is encoded
-whole; special strings are ordinary text; repeated rows and null ids: one result row for each
+Defined results: null text: as the empty one, no ids; a text without a safe boundary is encoded match
+by match; special strings are ordinary text; repeated rows and null ids: one result row for each
 input row; other columns are ignored.
 """
 
@@ -27,6 +29,7 @@ from quern.llm.common import id_and_text, per_batch, texts, tokenizer_path
 
 #: Fixed value: the published split pattern of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_MATCH = regex.compile(PATTERN)
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])")
 
 
@@ -52,11 +55,16 @@ def spans(text: str, span: int = 1 << 16) -> list[str]:
     return out
 
 
-def encode(text: str, path: str) -> list[int]:
+def encode(text: str, path: str, span: int = 1 << 16) -> list[int]:
     enc = encoding(path)
-    if len(text) <= 1 << 16:
-        return enc.encode_ordinary(text)
-    return [i for part in spans(text) for i in enc.encode_ordinary(part)]
+    out: list[int] = []
+    for part in spans(text, span):
+        if len(part) <= 2 * span:
+            out += enc.encode_ordinary(part)
+        else:
+            for m in _MATCH.finditer(part):
+                out += enc._encode_single_piece(m.group().encode())
+    return out
 
 
 def decode(ids: list[int], path: str) -> bytes:

@@ -3,7 +3,7 @@
 Lines are hashed and range-partitioned by (hash, document), with position as the secondary sort;
 each range streams to one first occurrence per hash and document, and what is left is
 pre-aggregated before it meets in one place by hash. The text never travels in this step: it
-gives a compressed bitmap per document (64 lines a word, words that keep every line left out),
+gives a compressed keep bitmap per document (64 lines a word, words that keep every line left out),
 which is joined to the text at the end.
 
 A hot line costs one row per range partition that holds it, never a group in a task. Joins are
@@ -11,9 +11,9 @@ by hash or by document and may be split by adaptive execution.
 
 Defined results:
 * null or empty text: one empty line, kept; the text becomes ''.
-* rows equal in doc_id and text count as one holder and are treated alike.
-* a null doc_id: its lines count; it is never the largest holder unless all holders are null,
-  in which case the line stays.
+* a line's holders are the distinct doc_ids of the rows that hold it, whatever their texts.
+* a null doc_id: each distinct text without an id is a holder; it is never the largest one unless all
+  are without an id, in which case the line stays.
 * ties (the same line twice in the largest document): all its lines there stay.
 * other columns are left alone, whatever their names.
 """
@@ -39,8 +39,8 @@ def _named(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc_id, text_key, dropped): dropped maps a word index to its 64 drop bits.
+def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """(doc_id, text_key, keep): keep maps a word index to the 64 keep bits of its lines.
 
     Documents that keep every line have no row; words without a dropped line have no entry.
     text_key is the text's hash, so rows that share a doc_id are told apart.
@@ -61,9 +61,11 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     )
     lines = stored(lines, "lines")
     # the range partitioning satisfies the window, so the first occurrences stream from one sort
+    holder = ["h1", "h2", "doc_id", "alone"]
     firsts = (
-        lines.repartitionByRange("h1", "h2", "doc_id", "text_key")
-        .withColumn("nth", F.row_number().over(W.partitionBy("h1", "h2", "doc_id", "text_key").orderBy("pos")))
+        lines.withColumn("alone", F.when(F.col("doc_id").isNull(), F.col("text_key")))
+        .repartitionByRange(*holder)
+        .withColumn("nth", F.row_number().over(W.partitionBy(*holder).orderBy("pos")))
         .filter("nth = 1")
     )
     repeated = (
@@ -75,42 +77,42 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     repeated = stored(repeated, "repeated-lines")
     dropped = lines.join(repeated, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     words = dropped.groupBy("doc_id", "text_key", F.expr("cast(pos div 64 as int)").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(pos % 64 as int)))").alias("bits")
+        F.expr("~bit_or(shiftleft(1L, cast(pos % 64 as int)))").alias("bits")
     )
     return words.groupBy("doc_id", "text_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped")
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keep")
     )
 
 
-def _kept_text(text: Column, dropped: Column) -> Column:
-    def keep(_line: Column, i: Column) -> Column:
-        # dropped[i / 64] is null for a word that keeps all its lines
-        bits = F.try_element_at(dropped, F.shiftright(i, 6))
-        return F.coalesce(F.call_function("getbit", bits, i % 64), F.lit(0)) == 0
+def _kept_text(text: Column, keep: Column) -> Column:
+    def stays(_line: Column, i: Column) -> Column:
+        # keep[i / 64] is null for a word that keeps all its lines
+        bits = F.try_element_at(keep, F.shiftright(i, 6))
+        return F.coalesce(F.call_function("getbit", bits, i % 64), F.lit(1)) == 1
 
-    return F.when(dropped.isNull(), text).otherwise(
-        F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
+    return F.when(keep.isNull(), text).otherwise(
+        F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
     )
 
 
 def _joined(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """row (all columns of docs as one struct, so that no name clashes), kept and n_dropped."""
-    maps = stored(drop_bitmaps(docs, min_chars, min_docs), "keep-bitmaps")
+    maps = stored(keep_bitmaps(docs, min_chars, min_docs), "keep-bitmaps")
     wide = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"),
     )
     hit = wide["doc_id"].eqNullSafe(maps["doc_id"]) & (wide["text_key"] == maps["text_key"])
-    bit_count = F.aggregate(
-        F.map_values("dropped"), F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b).cast("long")
+    dropped = F.aggregate(
+        F.map_values("keep"), F.lit(0).cast("long"), lambda n, b: n + 64 - F.bit_count(b).cast("long")
     )
     text = F.coalesce(F.col("row").getField("text"), F.lit(""))
     # the maps grow with the texts: one way of joining at every size
     return wide.join(maps.hint("merge"), hit, "left").select(
         "row",
-        _kept_text(text, F.col("dropped")).alias("kept"),
-        F.coalesce(bit_count, F.lit(0).cast("long")).alias("n_dropped"),
+        _kept_text(text, F.col("keep")).alias("kept"),
+        F.coalesce(dropped, F.lit(0).cast("long")).alias("n_dropped"),
     )
 
 

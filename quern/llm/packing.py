@@ -22,13 +22,12 @@ import random
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_and_text, per_batch, tokenizer_path
+from quern.llm.common import id_and_text, per_batch, resident, tokenizer_path
 from quern.session import stored
 
 END = (0).to_bytes(4, "little")
@@ -68,17 +67,12 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, text.split())) + END
 
 
-@lru_cache(2)
-def _ids(path: str) -> Ids:
-    return Ids(path)
-
-
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for every piece of every row."""
     path = path or tokenizer_path("word_bpe_49k.json")
 
     def start():
-        ids = _ids(path)
+        ids = resident(("packing", path), lambda: Ids(path))
 
         def f(batch: pa.RecordBatch) -> dict:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}

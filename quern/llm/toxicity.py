@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import fold, id_and_text, passing, per_batch, texts
+from quern.session import stored
 
 #: Common insults with a prior weight, and phrases in which they mean no harm.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting")
@@ -64,7 +65,7 @@ def terms_of(text: str, shortest: int = 4, longest: int = 7) -> set[str]:
     out: set[str] = set()
     for w in set(_WORD.findall(folded(text))):
         if len(w) >= 3:
-            out.add("=" + w[:40])
+            out.add("=" + w)
         out.update(w[:n] for n in range(shortest, min(longest, len(w)) + 1))
     return out
 
@@ -212,22 +213,19 @@ def learn(
         train.mapInArrow(count, "term string, toxic long, clean long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .persist()
     )
-    try:
-        n_terms = counted.count()
-        head = counted.filter("term = ''").first()
-        if head is None or not head["toxic"] or not head["clean"]:
-            return seed_lexicon()
-        likely = (
-            counted.filter((F.col("toxic") >= 4) & (F.col("term") != ""))
-            .filter(F.col("toxic") * F.lit(float(head["clean"])) > F.col("clean") * F.lit(2.0 * head["toxic"]))
-            .orderBy((F.col("toxic") - F.col("clean")).desc(), "term")
-            .limit(20 * max_terms)
-            .collect()
-        )
-    finally:
-        counted.unpersist()
+    counted = stored(counted, "toxic-terms")
+    n_terms = counted.count()
+    head = counted.filter("term = ''").first()
+    if head is None or not head["toxic"] or not head["clean"]:
+        return seed_lexicon()
+    likely = (
+        counted.filter((F.col("toxic") >= 4) & (F.col("term") != ""))
+        .filter(F.col("toxic") * F.lit(float(head["clean"])) > F.col("clean") * F.lit(2.0 * head["toxic"]))
+        .orderBy((F.col("toxic") - F.col("clean")).desc(), "term")
+        .limit(20 * max_terms)
+        .collect()
+    )
     weights = choose(
         [(r["term"], r["toxic"], r["clean"]) for r in likely], head["toxic"], head["clean"], n_terms, max_terms
     )
