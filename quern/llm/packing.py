@@ -5,7 +5,7 @@ The pieces are dealt into shards of about ``shard_size`` by row, not by key, so
 document spreads. Each shard is evolved on several islands (after Falkenauer's grouping genetic
 algorithm, 1996): crossover injects whole well-filled sequences of one parent into another, removes
 the sequences that hold duplicates, and best-fits the displaced pieces; between two epochs every
-island receives its neighbour's elite. A shard that reaches the lower bound ceil(tokens / capacity)
+island of a ring of three or more receives its neighbour's elite. A shard that reaches the lower bound ceil(tokens / capacity)
 is proven optimal and stops.
 
 Defined results:
@@ -34,10 +34,12 @@ END = (0).to_bytes(4, "little")
 
 
 class Ids(dict):
-    """chunk of bytes without ASCII blanks -> its ids as little-endian words.
+    """chunk of lower-case bytes without ASCII blanks -> its ids as little-endian words.
 
     The tokenizer splits at white space and lower-cases letter by letter, so a text's ids are those
-    of its chunks in order; each chunk is encoded when it is first missing.
+    of its chunks in order; each chunk is encoded when it is first missing. ``plain`` says whether the
+    file also keeps ASCII letters together and apart from a full stop or comma after them.
+    At most ``memory`` chunks are kept, of 64 bytes at most each.
     """
 
     def __init__(self, path: str, memory: int = 400_000):
@@ -46,25 +48,28 @@ class Ids(dict):
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self.merge = self.tokenizer.model.tokenize
+        same = self.tokenizer.encode_batch(["Ab cde.", "ab", "cde", "."], add_special_tokens=False)
+        if same[0].ids != same[1].ids + same[2].ids + same[3].ids:
+            raise ValueError(f"{path}: not a tokenizer that lower-cases and splits at white space")
+        parts = [self.merge("abcde"), self.tokenizer.encode("abcde", add_special_tokens=False)]
+        self.plain = [t.id for t in parts[0]] == parts[1].ids
 
     def __missing__(self, chunk: bytes) -> bytes:
-        # only lower-case letters and odd chunks are kept: others are put together from them
-        if chunk.isalpha():  # ASCII letters: one pre-token, whose bytes stand for themselves
-            low = chunk.lower()
-            if low != chunk:
-                return self[low]
-            ids = array("I", [t.id for t in self.merge(low.decode())]).tobytes()
-        elif chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():  # two pre-tokens
+        # only letters and odd chunks are kept: others are put together from them
+        if self.plain and chunk.isalpha():  # ASCII letters: one pre-token, whose bytes stand for themselves
+            ids = array("I", [t.id for t in self.merge(chunk.decode())]).tobytes()
+        elif self.plain and chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():  # two pre-tokens
             return self[chunk[:-1]] + self[chunk[-1:]]
         else:
             ids = array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
-        self[chunk] = ids
+        if len(chunk) <= 64:
+            self[chunk] = ids
         return ids
 
     def of(self, text: bytes) -> bytes:
         if len(self) > self.memory:
             self.clear()
-        return b"".join(map(self.__getitem__, text.split())) + END
+        return b"".join(map(self.__getitem__, text.lower().split())) + END
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> DataFrame:
@@ -230,7 +235,7 @@ def _epoch(rows: DataFrame, capacity: int, seed: int) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, path: str | None = None, capacity: int = 2048, shard_size: int = 4096, islands: int = 2, seed: int = 1
+    docs: DataFrame, path: str | None = None, capacity: int = 2048, shard_size: int = 4096, islands: int = 3, seed: int = 1
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row."""
     own = stored(pieces(docs, path, capacity), "pieces")

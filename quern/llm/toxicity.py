@@ -2,9 +2,9 @@
 
 Folding lower-cases, maps homoglyphs to Latin letters and digit or sign substitutions before a
 letter back to letters ("1d10t", "Іdіоt"). The lexicon holds whole words and word beginnings. It is
-learned from labelled rows by document frequency: a term enters if its share of toxic documents
-is so high that chance would give one such term in a hundred lexicons, and its weight is the
-smoothed log odds ratio. Hits inside an exception phrase do not count. A small logistic model turns
+learned from labelled rows by document frequency: a term enters if its share of toxic documents, or
+of toxic ones among the documents dense in it, is so high that chance would give one such term in a
+hundred lexicons, and its weight is the smoothed log odds ratio. Hits inside an exception phrase do not count. A small logistic model turns
 the strongest hit, the sum of weights and that sum per hundred words into a score.
 
 Bounds (parameters): at most ``max_toxic`` + ``max_clean`` labelled documents are learned from,
@@ -60,14 +60,18 @@ def folded(text: str) -> str:
     return _SIGN_RUN.sub(lambda m: m.group().translate(SIGNS), text)
 
 
-def terms_of(text: str, shortest: int = 4, longest: int = 7) -> set[str]:
-    """Distinct whole words ("=word") and word beginnings ("word" cut to 4..7 letters)."""
-    out: set[str] = set()
-    for w in set(_WORD.findall(folded(text))):
+def terms_of(text: str, shortest: int = 4, longest: int = 7) -> dict[str, bool]:
+    """Whole words ("=word") and word beginnings ("word" cut to 4..7 letters); True for the dense ones,
+    which are met twice or more and once in a hundred words."""
+    hits: Counter = Counter()
+    words = Counter(_WORD.findall(folded(text)))
+    for w, n in words.items():
         if len(w) >= 3:
-            out.add("=" + w)
-        out.update(w[:n] for n in range(shortest, min(longest, len(w)) + 1))
-    return out
+            hits["=" + w] += n
+        for k in range(shortest, min(longest, len(w)) + 1):
+            hits[w[:k]] += n
+    total = words.total()
+    return {t: n >= 2 and 100 * n >= total for t, n in hits.items()}
 
 
 @dataclass
@@ -142,16 +146,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return tuple(float(v) for v in b)
 
 
-def choose(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, n_terms: int, max_terms: int) -> dict[str, float]:
-    """Terms that chance does not explain, without terms that begin with one another."""
+def _gain(a: int, b: int, p0: float) -> float:
+    """How much less likely chance makes a toxic and b clean documents than their own share does, as a log."""
+    p = a / (a + b) if a else 0.0
+    if p <= p0:
+        return 0.0
+    return (a + b) * (p * np.log(p / p0) + ((1 - p) * np.log((1 - p) / (1 - p0)) if p < 1 else 0))
+
+
+def choose(
+    counts: list[tuple[str, int, int, int, int]], n_toxic: int, n_clean: int, n_terms: int, max_terms: int
+) -> dict[str, float]:
+    """Terms that chance does not explain, without terms that begin with one another.
+
+    counts: term, toxic and clean documents that hold it, and those of them that are dense in it. A term
+    enters by either pair and is weighted by the first.
+    """
     p0 = n_toxic / (n_toxic + n_clean)
-    need = np.log(max(n_terms, 1) / 0.01)
+    need = np.log(max(2 * n_terms, 1) / 0.01)
     found = []
-    for term, a, b in counts:
-        p = a / (a + b)
-        if p <= p0:
-            continue
-        gain = (a + b) * (p * np.log(p / p0) + ((1 - p) * np.log((1 - p) / (1 - p0)) if p < 1 else 0))
+    for term, a, b, a_dense, b_dense in counts:
+        gain = max(_gain(a, b, p0), _gain(a_dense, b_dense, p0))
         weight = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
         if gain >= need and weight >= 1.5 and a >= 0.005 * n_toxic:
             found.append((float(gain), term, float(weight)))
@@ -196,23 +211,26 @@ def learn(
         .select("text", F.col("toxic").cast("int").alias("toxic"))
     )
 
+    kinds = ("toxic", "clean", "toxic_dense", "clean_dense")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic, clean = Counter(), Counter()
+            found = [Counter() for _ in kinds]
             for text, y in zip(texts(b), b.column("toxic").to_pylist(), strict=True):
-                own = toxic if y == 1 else clean
-                own.update(terms_of(text))
-                own[""] += 1  # the number of documents
-            terms = list(toxic.keys() | clean.keys())
+                held, dense = (found[0], found[2]) if y == 1 else (found[1], found[3])
+                own = terms_of(text)
+                held.update(own.keys())
+                dense.update(t for t, often in own.items() if often)
+                held[""] += 1  # the number of documents
+            terms = list(found[0].keys() | found[1].keys())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms), pa.array([toxic[t] for t in terms]), pa.array([clean[t] for t in terms])],
-                names=["term", "toxic", "clean"],
+                [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in found)], names=["term", *kinds]
             )
 
     counted = (
-        train.mapInArrow(count, "term string, toxic long, clean long")
+        train.mapInArrow(count, "term string, " + ", ".join(f"{k} long" for k in kinds))
         .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        .agg(*[F.sum(k).alias(k) for k in kinds])
     )
     counted = stored(counted, "toxic-terms")
     n_terms = counted.count()
@@ -227,7 +245,7 @@ def learn(
         .collect()
     )
     weights = choose(
-        [(r["term"], r["toxic"], r["clean"]) for r in likely], head["toxic"], head["clean"], n_terms, max_terms
+        [(r["term"], *(r[k] for k in kinds)) for r in likely], head["toxic"], head["clean"], n_terms, max_terms
     )
     plain = Lexicon({"=" + w: 2.0 for w in SEEDS} | weights)
 
