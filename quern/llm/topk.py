@@ -7,16 +7,19 @@ is at least n ((difference of means)^2 + (difference of deviations)^2), so the i
 are matrix products, taken coarse to fine; pairs whose bound falls below the query's k-th score so
 far are dropped, and only survivors get an exact integer product.
 
-The query set is stated by the caller. It is broadcast when its counted size is under
-``broadcast_bytes``; beyond that, query blocks and candidate blocks meet in an equi-join on block
-numbers, so no side must fit anywhere. Each task keeps k rows a query.
+The query set is stated by the caller. It is dealt into blocks of at most about ``broadcast_bytes`` by
+its counted size; each block is broadcast and meets every candidate in one pass, in which a task keeps
+its k best rows a query as floors for all that it still reads. Nothing but k rows a query and task is
+shuffled, and one block at a time is in the driver.
 
 Defined results:
 * vectors that are null, empty, or hold null, NaN or infinite components take no part, as queries
-  or as candidates; nor do rows with a null id, or vectors of another length than the longest.
-* ties go to the smaller vec_id; repeated rows are candidates each, but a query id is searched once
-  and never meets rows of its own id.
+  or as candidates; nor do rows with a null id.
+* a query meets the vectors of its own length.
+* ties go to the smaller vec_id; repeated rows are candidates each, but a query id is searched once,
+  with its least vector if it has several, and never meets rows of its own id.
 * fewer than k candidates: all of them. Other columns are ignored.
+* scores are exact while they fit a long; components beyond a long count as its bound.
 """
 
 from __future__ import annotations
@@ -61,75 +64,89 @@ class Searcher:
     """Keeps the k best candidates of each query over any number of blocks."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
-        self.ids, self.v, self.k = ids, v.astype(np.float64), k
+        self.ids, self.whole, self.v, self.k = ids, v, v.astype(np.float64), k
         self.stats = [statistics(self.v, s) for s in LEVELS]
-        self.best_score = np.full((len(ids), k), -np.inf)
+        self.length = np.sqrt((self.v * self.v).sum(axis=1))
+        self.largest = np.abs(self.v).max(initial=0.0)
+        self.multiplied = 0  # pairs that were not dropped by their bounds
+        self.best_score = np.full((len(ids), k), np.iinfo(np.int64).min)
         self.best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.found = np.zeros(len(ids), np.int64)  # candidates that came in
+        self.kept = np.zeros(len(ids), np.int64)
 
-    def add(self, ids: np.ndarray, v: np.ndarray, block: int = 512) -> None:
-        v = v.astype(np.float64)
+    def add(self, ids: np.ndarray, whole: np.ndarray, block: int = 512) -> None:
+        v = whole.astype(np.float64)
         stats = [statistics(v, s) for s in LEVELS]
         for i in range(0, len(ids), block):
-            self._block(ids[i : i + block], v[i : i + block], [s[i : i + block] for s in stats])
+            own = slice(i, i + block)
+            self._block(ids[own], whole[own], v[own], [s[own] for s in stats])
 
-    def _block(self, ids: np.ndarray, v: np.ndarray, stats: list[np.ndarray]) -> None:
-        floor = self.best_score[:, -1]
+    def _scores(self, q: np.ndarray, c: np.ndarray, whole: np.ndarray, v: np.ndarray, dense: bool) -> np.ndarray:
+        # float64 holds these integers exactly while they stay under 2^53
+        if self.largest * np.abs(v).max(initial=0.0) * v.shape[1] < 2.0**53:
+            if dense:
+                return (self.v @ v.T)[q, c].astype(np.int64)
+            one, two = self.v, v
+        else:
+            one, two = self.whole, whole
+        parts = [np.einsum("ij,ij->i", one[q[i : i + 65536]], two[c[i : i + 65536]]) for i in range(0, len(q), 65536)]
+        return np.concatenate(parts).astype(np.int64)
+
+    def _block(self, ids: np.ndarray, whole: np.ndarray, v: np.ndarray, stats: list[np.ndarray]) -> None:
+        slack = 1e-6 + 1e-9 * self.length * np.sqrt((v * v).sum(axis=1).max(initial=0.0))
+        floor = np.where(self.found < self.k, -np.inf, self.best_score[:, -1] - slack)
         q, c = None, None
         for own, other in zip(self.stats, stats, strict=True):
-            slack = 1e-6 * (1 + np.abs(floor))
             if q is None:
                 bound = own @ other.T
-                q, c = np.nonzero(bound >= (np.where(np.isinf(floor), floor, floor - slack))[:, None])
+                q, c = np.nonzero(bound >= floor[:, None])
             elif len(q) > bound.size // 2:  # few were dropped: one product is cheaper than pairs
-                bound = own @ other.T
-                keep = bound[q, c] >= np.where(np.isinf(floor), floor, floor - slack)[q]
+                keep = (own @ other.T)[q, c] >= floor[q]
                 q, c = q[keep], c[keep]
             else:
-                keep = np.einsum("ij,ij->i", own[q], other[c]) >= np.where(np.isinf(floor), floor, floor - slack)[q]
+                keep = np.einsum("ij,ij->i", own[q], other[c]) >= floor[q]
                 q, c = q[keep], c[keep]
         other_row = ids[c] != self.ids[q]
         q, c = q[other_row], c[other_row]
+        self.multiplied += len(q)
         if not len(q):
             return
-        # float64 holds these integers exactly while they stay under 2^53
-        if len(q) > bound.size // 4:
-            score = (self.v @ v.T)[q, c]
-        else:
-            score = np.concatenate([np.einsum("ij,ij->i", self.v[q[i : i + 65536]], v[c[i : i + 65536]]) for i in range(0, len(q), 65536)])
-        better = score >= self.best_score[q, -1]
+        score = self._scores(q, c, whole, v, len(q) > bound.size // 4)
+        better = (score >= self.best_score[q, -1]) | (self.found[q] < self.k)
         q, c, score = q[better], ids[c[better]], score[better]
         rows = np.unique(q)
         if not len(rows):
             return
+        self.found += np.bincount(q, minlength=len(self.found))
         allq = np.concatenate([q, np.repeat(rows, self.k)])
         alls = np.concatenate([score, self.best_score[rows].ravel()])
         alli = np.concatenate([c, self.best_id[rows].ravel()])
-        order = np.lexsort((alli, -alls, allq))
+        empty = np.concatenate([np.zeros(len(q), bool), (np.arange(self.k) >= self.kept[rows][:, None]).ravel()])
+        order = np.lexsort((alli, ~alls, empty, allq))  # ~x falls as x grows, and cannot overflow
         allq, alls, alli = allq[order], alls[order], alli[order]
         first = np.searchsorted(allq, rows)
         pick = first[:, None] + np.arange(self.k)
         self.best_score[rows], self.best_id[rows] = alls[pick], alli[pick]
+        self.kept = np.minimum(self.found, self.k)
 
     def rows(self) -> pa.RecordBatch:
-        q, j = np.nonzero(np.isfinite(self.best_score))
+        q, j = np.nonzero(np.arange(self.k) < self.kept[:, None])
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.ids[q]), pa.array(self.best_id[q, j]), pa.array(self.best_score[q, j].astype(np.int64))],
+            [pa.array(self.ids[q]), pa.array(self.best_id[q, j]), pa.array(self.best_score[q, j])],
             names=["query_id", "vec_id", "score"],
         )
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-
-
-def _pack(rows: DataFrame, n_blocks: int, name: str) -> DataFrame:
-    """One row for each block: its number, ids and flat vectors."""
-    return (
-        rows.withColumn(name, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
-        .groupBy(name)
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("r"))
-        .select(name, F.col("r.vec_id").alias(f"{name}_ids"), F.flatten("r.v").alias(f"{name}_v"))
-    )
+def by_length(ids: np.ndarray, column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> (ids, integer matrix), straight from the column's buffers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    size, out = np.diff(at), {}
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        out[n] = ids[own], flat[at[own][:, None] + np.arange(n)]
+    return out
 
 
 def top_k(
@@ -137,7 +154,6 @@ def top_k(
     queries: DataFrame,
     k: int = 5,
     broadcast_bytes: int = 32 << 20,
-    block: int = 2048,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products.
 
@@ -145,40 +161,34 @@ def top_k(
     """
     spark = vectors.sparkSession
     vectors = stored(vectors, "vectors")
-    head = vectors.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
-    dim = head["dim"] or 1
-    vectors = vectors.filter(F.size("v") == dim)
-    queries = stored(queries.filter(F.size("v") == dim).dropDuplicates(["vec_id"]), "queries")
-    n_queries = queries.count()
-    if n_queries * (dim + 1) * 8 <= broadcast_bytes:
-        got = queries.toPandas()
-        own_ids = got["vec_id"].to_numpy(np.int64)
-        own_v = np.array(got["v"].tolist(), np.int64).reshape(len(got), dim)
-        shared = spark.sparkContext.broadcast((own_ids, own_v))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = None
-            for b in batches:
-                if b.num_rows and len(shared.value[0]):
-                    s = s or Searcher(*shared.value, k)
-                    s.add(b.column("vec_id").to_numpy(), _matrix(b.column("v"), dim))
-            if s is not None:
-                yield s.rows()
-
-        found = vectors.select("vec_id", "v").mapInArrow(run, _OUT)
-    else:
-        n_q, n_c = -(-n_queries // block), max(1, -(-head["n"] // block))
-        left = _pack(queries, n_q, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-        pairs = left.join(_pack(vectors, n_c, "c"), "c")
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    queries = stored(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    size = queries.agg(F.coalesce(F.sum(8 * (F.size("v") + 1)), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // broadcast_bytes))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
+    found = None
+    for i in range(n_blocks):
+        own = queries.filter(block == i).toArrow()
+        shared = spark.sparkContext.broadcast(by_length(own.column("vec_id").to_numpy(), own.column("v")))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            searchers: dict[int, list[Searcher]] = {}
             for b in batches:
-                for r in b.to_pylist():
-                    s = Searcher(np.array(r["q_ids"], np.int64), np.array(r["q_v"], np.int64).reshape(-1, dim), k)
-                    s.add(np.array(r["c_ids"], np.int64), np.array(r["c_v"], np.int64).reshape(-1, dim))
+                for n, (ids, v) in by_length(b.column("vec_id").to_numpy(), b.column("v")).items():
+                    if n in shared.value:
+                        if n not in searchers:  # few queries at a time bound the matrices
+                            own = shared.value[n]
+                            searchers[n] = [Searcher(own[0][i : i + 2048], own[1][i : i + 2048], k) for i in range(0, len(own[0]), 2048)]
+                        for s in searchers[n]:
+                            s.add(ids, v)
+            for many in searchers.values():
+                for s in many:
                     yield s.rows()
 
-        found = pairs.mapInArrow(meet, _OUT)
+        best = vectors.select("vec_id", "v").mapInArrow(run, _OUT)
+        if n_blocks > 1:
+            best = stored(best, "top-k")
+            shared.unpersist()
+        found = best if found is None else found.unionAll(best)
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return (
         found.withColumn("rank", F.row_number().over(best))

@@ -87,14 +87,52 @@ def test_top_k_both_ways(spark):
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     clean = topk.clean(df)
     queries = clean.filter("vec_id % 50 = 0")
-    for limit in (1 << 25, 0):
-        got = [tuple(r) for r in topk.top_k(clean, queries, 5, broadcast_bytes=limit, block=64).collect()]
+    for limit in (1 << 25, 100):
+        got = [tuple(r) for r in topk.top_k(clean, queries, 5, broadcast_bytes=limit).collect()]
         assert sorted(got) == want
     assert topk.top_k_report(df.limit(0)).count() == 0
     few = [tuple(r) for r in topk.top_k_report(df.filter("vec_id in (50, 51, 52)").dropDuplicates(["vec_id"])).collect()]
     assert len(few) == 2
 
 
+def test_top_k_by_length_and_repeated_queries(spark):
+    own = [(i, [float(i % 7), 1.0, -float(i % 3)]) for i in range(1, 12)] + [(12, [1.0] * 9), (13, [2.0, 1.0]), (14, [1.0, 1.0])]
+    queries = [(100, [5.0, 0.0, 0.0]), (100, [0.0, 0.0, 5.0]), (100, [0.0, 0.0, 5.0]), (101, [1.0, 0.0])]
+    df = spark.createDataFrame(own + queries, "vec_id long, embedding array<double>")
+    clean = topk.clean(df)
+    got = topk.top_k(clean, clean.filter("vec_id >= 100"), 3).collect()
+
+    def best(q, v):
+        found = sorted((-sum(256 * 256 * a * b for a, b in zip(v, x)), i) for i, x in own + queries if len(x) == len(v) and i != q)
+        return [(q, r + 1, i, int(-s)) for r, (s, i) in enumerate(found[:3])]
+
+    assert sorted(tuple(r) for r in got) == best(100, [0.0, 0.0, 5.0]) + best(101, [1.0, 0.0])  # the least vector of 100
+
+
+def test_top_k_of_large_components(spark):
+    own = [(50, [2.0**23, 2.0**23 + 1]), (51, [2.0**23, 3.0]), (52, [2.0**23, 3.0 + 2.0**-8]), (53, [-(2.0**23), 1.0])]
+    got = topk.top_k_report(spark.createDataFrame(own, "vec_id long, embedding array<double>")).collect()
+    v = {i: [int(256 * c) for c in x] for i, x in own}
+    want = sorted((-sum(a * b for a, b in zip(v[50], x)), i) for i, x in v.items() if i != 50)
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+
+
+def test_most_pairs_are_never_multiplied():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centre = rng.normal(0, 60, (40, 16)).repeat(4, axis=1)  # segments that tell the vectors apart
+    v = (centre[rng.integers(0, 40, 8000)] + rng.normal(0, 20, (8000, 64))).astype(np.int64)
+    s = topk.Searcher(np.arange(100), v[:100], 5)
+    for i in range(0, 8000, 1000):
+        s.add(np.arange(i, i + 1000), v[i : i + 1000])
+    assert s.multiplied < 100 * 8000 // 4
+    exact = v[:100] @ v.T
+    exact[np.arange(100), np.arange(100)] = -(1 << 60)
+    got = s.rows().to_pydict()["score"]
+    assert got == (-np.sort(-exact, axis=1)[:, :5]).ravel().tolist()
+
+
 def test_bounds_hold():
     import numpy as np
 
