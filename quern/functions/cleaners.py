@@ -107,8 +107,10 @@ def _abbreviations(c: Column, lang: Column) -> Column:
                 own = F.regexp_replace(own, rf"{'(?iu)' if code == 'ru' else ''}(?U)\b{re.escape(short)}\b", long)
             else:
                 own = F.regexp_replace(own, rf"(?iuU)\b{short}\.", long)
-        if pairs:
-            out = out.when(lang == code, own)
+        if pairs:  # one search tells whether there is anything to replace
+            flags, end = ("(?iu)(?U)" if code == "ru" else "(?U)", r"\b") if code in ("ru", "ja") else ("(?iuU)", r"\.")
+            any_ = "|".join(re.escape(short) if code in ("ru", "ja") else short for short, _ in pairs)
+            out = out.when((lang == code) & c.rlike(rf"{flags}\b(?:{any_}){end}"), own)
     return out.otherwise(c)
 
 
@@ -125,7 +127,9 @@ def _symbols(c: Column, lang: Column) -> Column:
             end = "" if code == "ja" and s == "°" else " "
             own = F.replace(F.replace(own, F.lit(s), F.lit(f" {word}{end}")), F.lit("  "), F.lit(" "))
         out = out.when(lang == code, F.trim(own))
-    return out.otherwise(F.trim(c))
+    # spaces collapse even where no symbol is
+    some = c.rlike("|".join(map(re.escape, (*t.SYMBOL_KEYS, "  "))))
+    return F.when(some, out.otherwise(F.trim(c))).otherwise(F.trim(c))
 
 
 def clean(c: Column, lang: Column) -> Column:

@@ -35,6 +35,14 @@ def replaced(c: Column, pairs) -> Column:
     return c
 
 
+def one_to_one(c: Column, pairs) -> Column:
+    """Replacements of single characters, none of which gives one that another replaces, in one pass."""
+    old, new = "".join(x for x, _ in pairs), "".join(x for _, x in pairs)
+    if len(old) != len(new) or set(old) & set(new):
+        return replaced(c, pairs)
+    return F.translate(c, old, new)
+
+
 def literal(s: str) -> str:
     """A string as the replacement of regexp_replace."""
     return s.replace("\\", "\\\\").replace("$", "\\$")
@@ -44,11 +52,15 @@ def is_ethiopic(c: Column, wide: bool = True) -> Column:
     return c.rlike(ETHIOPIC_WIDE if wide else ETHIOPIC)
 
 
+def longest_first(rules: dict[str, str]) -> list[tuple[str, str]]:
+    """Rules whose text is longer come before the ones that they hold; equals keep their order."""
+    return sorted(rules.items(), key=lambda x: -len(x[0]))
+
+
 def normalize_amharic(c: Column) -> Column:
     """Abbreviations (longest first), spelling variants, the word space, white space."""
-    longest_first = sorted(t.ABBREVIATIONS.items(), key=lambda x: -len(x[0]))
-    c = replaced(c, longest_first)
-    c = replaced(c, t.VARIANTS)
+    c = replaced(c, longest_first(t.ABBREVIATIONS))
+    c = one_to_one(c, t.VARIANTS)
     return collapse(F.replace(c, F.lit(t.WORD_SPACE), F.lit(" ")))
 
 
@@ -157,17 +169,33 @@ def prosody_statistics(c: Column) -> dict[str, Column]:
 def prosody_info(c: Column) -> Column:
     """struct of pauses, intonations, emphasis spans and code switches, positions from 0.
 
-    Positions are found by walking the text with split pieces, so all of it stays in the JVM;
-    emphasis spans of overlapping patterns are listed by pattern, as found left to right.
+    Positions come from the index of characters or of the pieces between marks, so all of it stays in the
+    JVM; emphasis spans of overlapping patterns are listed by pattern, as found left to right.
     """
+    chars = F.split(c, "")
+
     def at(s: str) -> Column:
-        # each piece's end, counted on with the marks before it, is where the next mark stands
-        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"))
-        step = lambda acc, x: F.struct(
-            (acc["n"] + F.length(x) + len(s)).alias("n"), F.concat(acc["ends"], F.array(acc["n"] + F.length(x))).alias("ends")
+        if len(s) > 1:  # marks that don't overlap, as a search from left to right finds them
+            return F.transform(spans(re.escape(s)), lambda x: x["start"])
+        return F.filter(F.transform(chars, lambda x, i: F.when(x == s, i)), lambda i: i.isNotNull())
+
+    def spans(pattern: str) -> Column:
+        # a match starts where the piece before it ends; pieces and matches alternate
+        found = F.regexp_extract_all(c, F.lit(f"(?s)({pattern})"), F.lit(1))
+        sizes = F.zip_with(F.split(c, f"(?s){pattern}"), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
+        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+        def step(acc: Column, x: Column) -> Column:
+            a = acc["n"] + x["gap"]
+            b = a + x["size"]
+            return F.struct(b.alias("n"), F.concat(acc["spans"], F.array(F.struct(a.alias("start"), b.alias("end")))).alias("spans"))
+
+        return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(
+            F.aggregate(F.filter(sizes, lambda x: x["size"].isNotNull()), start, step, lambda acc: acc["spans"])
         )
-        ends = F.aggregate(F.split(c, re.escape(s)), start, step, lambda acc: acc["ends"])
-        return F.slice(ends, 1, F.size(ends) - 1)  # the last piece ends with the text
+
+    def emphasis(pattern: str, kind: str) -> Column:
+        return F.transform(spans(pattern), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("emphasis")))
 
     def pause(p: str, d: str) -> Column:
         return F.transform(at(p), lambda i: F.struct(i.alias("pos"), F.lit(p).alias("mark"), F.lit(float(d)).alias("pause")))
@@ -177,7 +205,8 @@ def prosody_info(c: Column) -> Column:
 
     pauses = F.flatten(F.array(*[pause(p, d) for p, d in t.PAUSES.items()]))
     tones = F.flatten(F.array(*[tone(p, k) for p, k in t.INTONATIONS.items()]))
-    return F.struct(pauses.alias("pauses"), tones.alias("intonations"), code_switches(c).alias("code_switches"))
+    stressed = F.flatten(F.array(*[emphasis(p, k) for p, k in t.EMPHASIS]))
+    return F.struct(pauses.alias("pauses"), tones.alias("intonations"), stressed.alias("emphasis"), code_switches(c).alias("code_switches"))
 
 
 def script_counts(c: Column) -> dict[str, Column]:
@@ -209,8 +238,39 @@ def preview(c: Column, n: int = 50) -> Column:
 
 
 def html_unescape(c: Column) -> Column:
-    pairs = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-    return replaced(c, pairs)
+    """Every character reference of HTML 5: names, also the old ones without a semicolon, and numbers."""
+    from html.entities import html5
+
+    from quern.functions.numbers import replace_matches
+
+    old = {k: v for k, v in html5.items() if not k.endswith(";")}
+    named, without = (F.map_from_arrays(strings(d.keys()), strings(d.values())) for d in (html5, old))
+    windows = strings(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
+    utf16 = lambda n, digits: F.lpad(F.hex(n), digits, "0")
+
+    def character(n: Column) -> Column:
+        above = n - 0x10000
+        high, low = F.shiftright(above, 10) + 0xD800, above.bitwiseAND(0x3FF) + 0xDC00
+        units = F.when(n < 0x10000, utf16(n, 4)).otherwise(F.concat(utf16(high, 4), utf16(low, 4)))
+        none = n.between(1, 8) | n.between(0xE, 0x1F) | (n == 0xB) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        return (
+            F.when(n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(n.between(0x80, 0x9F), F.try_element_at(windows, (n - 0x7F).cast("int")))
+            .when(none, "")
+            .otherwise(F.decode(F.unhex(units), "UTF-16BE"))
+        )
+
+    def number(s: Column) -> Column:
+        digits = F.regexp_extract(s, "^#[xX]?([0-9a-fA-F]+)", 1)
+        hexed = F.when(F.length(F.ltrim(digits, F.lit("0"))) < 9, F.conv(digits, 16, 10).cast("long"))
+        return let(F.when(s.rlike("^#[xX]"), hexed).otherwise(digits.try_cast("long")), character)
+
+    def one(m: Column) -> Column:
+        s = F.substring(m, 2, 64)
+        begun = [F.concat(F.try_element_at(without, F.when(F.length(s) > k, F.left(s, F.lit(k)))), F.substring(s, k + 1, 64)) for k in range(6, 1, -1)]
+        return F.when(s.startswith("#"), number(F.substring(m, 2, 1 << 20))).otherwise(F.coalesce(F.try_element_at(named, s), *begun, m))
+
+    return replace_matches(c, r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", one)
 
 
 def char_limit(lang: Column) -> Column:
@@ -219,16 +279,45 @@ def char_limit(lang: Column) -> Column:
 
 
 def split_sentences(c: Column, limit: int = 250) -> Column:
-    """Greedy packing of sentences into pieces of at most ``limit`` characters; words that do not
-    fit open a new piece, so only a single longer word exceeds it."""
-    words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, w: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + 1 + F.length(w) <= limit)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), w)))).otherwise(
-            F.concat(acc, F.array(w))
+    """A text under the limit as it is; a longer one as pieces of whole sentences, each packed while its
+    length and the next sentence's add up to the limit. Of a longer sentence, lines are cut at white space.
+
+    A sentence ends with a mark before white space or the end. A word over the limit begins a line and is
+    cut at the limit.
+    """
+    mark = r"[.!?…。！？።፧፨]"
+    sentence = rf"(?s)\S(?:.*?{mark}+[\"'”’)\]]*(?=\s|$)|.*$)"
+    line = rf"\S(?:.{{0,{max(limit - 2, 0)}}}\S)?(?=\s|$)|\S{{{limit}}}"
+
+    def lines(s: Column) -> Column:
+        plain = F.regexp_replace(s, r"[\t\n\x0B\f\r]", " ")
+        cut = F.transform(F.regexp_extract_all(plain, F.lit(line), F.lit(0)), lambda x: F.struct(x.alias("s"), F.lit(True).alias("alone")))
+        return F.when(F.length(s) > limit, cut).otherwise(F.array(F.struct(s.alias("s"), F.lit(False).alias("alone"))))
+
+    def numbered(parts: Column) -> Column:
+        """The number of each part's piece, from the lengths alone."""
+        start = F.struct(F.lit(-1).alias("piece"), F.lit(limit + 1).alias("size"), F.array().cast("array<int>").alias("of"))
+
+        def step(acc: Column, x: Column) -> Column:
+            n = F.length(x["s"])
+            joins = ~x["alone"] & (acc["size"] + n <= limit)
+            piece = acc["piece"] + F.when(joins, 0).otherwise(1)
+            return F.struct(piece.alias("piece"), F.when(joins, acc["size"] + n + 1).otherwise(n).alias("size"), F.concat(acc["of"], F.array(piece)).alias("of"))
+
+        return F.aggregate(parts, start, step, lambda acc: acc["of"])
+
+    def pieces(parts: Column) -> Column:
+        def of_numbers(of: Column) -> Column:
+            firsts = F.filter(F.sequence(F.lit(0), F.size(of) - 1), lambda i: (i == 0) | (F.get(of, i) != F.get(of, i - 1)))
+            ends = F.concat(F.slice(firsts, 2, F.size(firsts)), F.array(F.size(of)))
+            return F.zip_with(firsts, ends, lambda a, b: F.array_join(F.transform(F.slice(parts, a + 1, b - a), lambda x: x["s"]), " "))
+
+        return let(numbered(parts), of_numbers)
+
+    def split(x: Column) -> Column:
+        parts = F.flatten(F.transform(F.regexp_extract_all(x, F.lit(sentence), F.lit(0)), lines))
+        return F.when(F.length(x) < limit, F.array(F.regexp_replace(x, r"^(?U)\s+", ""))).otherwise(
+            let(parts, lambda p: F.when(F.size(p) == 0, F.array(F.lit(""))).otherwise(pieces(p)))
         )
 
-    return F.aggregate(words, empty, step)
+    return let(c, split)

@@ -5,11 +5,15 @@ Every operator that depends on order takes it as a column; nothing relies on the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import paths, text
+from quern.session import stored
 
 # --- filters and checks -----------------------------------------------------------------------
 
@@ -199,28 +203,26 @@ def renumbered(df: DataFrame, start: int, *order: str | Column) -> DataFrame:
 
 
 def ordinal(df: DataFrame, *order: str | Column) -> DataFrame:
-    """df with ordinal 0, 1, ... in the given total order, without a single-task sort.
+    """df with ordinal 0, 1, ... in the given total order, whatever the columns' types.
 
-    Rows are dealt to ranges by the first order column's quantiles; each range is numbered by
-    itself and shifted by the counts of the ranges before it.
+    The rows are sorted once into as many ranges as the size asks for and written; each is numbered as
+    it streams, and shifted by the counts of the ranges before it (a row a range).
     """
-    key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
-    n = 64
-    cuts = df.select(F.percentile_approx(first.cast("double"), [i / n for i in range(1, n)], 2000)).first()[0] or []
-    bucket = sum((F.when(first.cast("double") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    dealt = df.withColumn("__bucket", bucket)
-    sizes = dealt.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    key = [F.col(o) if isinstance(o, str) else o for o in order]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    ranges = (
+        df.select(row, *[k.alias(f"key{i}") for i, k in enumerate(key)])
+        .repartitionByRange(*[f"key{i}" for i in range(len(key))])
+        .sortWithinPartitions(*[f"key{i}" for i in range(len(key))])
+        .select("row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth"))
+    )
+    ranges = stored(ranges, "ordinal")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select(
-        "__bucket",
-        (F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))).alias("__before"),
-    )  # at most 64 rows
-    within = F.row_number().over(W.partitionBy("__bucket").orderBy(key))
-    return (
-        dealt.withColumn("__within", within)
-        .join(F.broadcast(before), "__bucket")
-        .withColumn("ordinal", F.coalesce("__before", F.lit(0)) + F.col("__within") - 1)
-        .drop("__bucket", "__within", "__before")
+        "part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    )
+    return ranges.join(F.broadcast(before), "part").select(
+        *[F.col("row").getField(c).alias(c) for c in df.columns], (F.col("before") + F.col("nth")).alias("ordinal")
     )
 
 
@@ -244,13 +246,41 @@ def shuffled_key(seed: int, key: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), c.cast("string")))
 
 
+def first_by_hash(df: DataFrame, groups: list[str], take: Callable[[Column], Column], seed: int, key: str, chosen: str) -> DataFrame:
+    """df with ``chosen``: true for the first take(n) of each group's n rows in shuffled order.
+
+    No row is moved: counts by group and the hash's first four digits (65536 a group) tell which digits
+    hold the last chosen row, the few rows of those digits give its hash, and a filter does the rest.
+    Rows that share a key share their side. The groups are few; their limits are broadcast.
+    """
+    h = shuffled_key(seed, key)
+    small = df.select(*groups, h.alias("h"), F.col(key).alias("k")).withColumn("digits", F.substring("h", 1, 4))
+    by = [F.col(g) for g in groups] or [F.lit(0)]
+    counts = small.groupBy(*groups, "digits").agg(F.count("*").alias("n"))
+    upto, total = F.sum("n").over(W.partitionBy(*by).orderBy("digits")), F.sum("n").over(W.partitionBy(*by))
+    edge = (
+        counts.withColumns({"upto": upto, "wanted": take(total).cast("long")})
+        .filter((F.col("upto") - F.col("n") < F.col("wanted")) & (F.col("wanted") <= F.col("upto")))
+        .select(*groups, "digits", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))
+    )
+    nth = F.row_number().over(W.partitionBy(*by, "digits").orderBy("h", "k"))
+    last = (
+        small.join(F.broadcast(edge), [*groups, "digits"])
+        .withColumn("nth", nth)
+        .filter(F.col("nth") == F.col("need"))
+        .select(*[F.col(g).alias(f"__{g}") for g in groups], F.struct("h", "k").alias("__last"))
+    )
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups], F.lit(True))
+    inside = F.struct(h.alias("h"), F.col(key).alias("k")) <= F.col("__last")
+    return df.join(F.broadcast(last), same, "left").withColumn(chosen, F.coalesce(inside, F.lit(False))).drop("__last", *[f"__{g}" for g in groups])
+
+
 def stratified_split(df: DataFrame, ratio: float = 0.1, seed: int = 42, key: str = "audio_file") -> DataFrame:
     """split = val for max(1, floor(n * ratio)) rows of each length bin; empty texts go."""
     binned = df.withColumn("bin", length_bin(F.length("text"))).filter("bin is not null")
-    by_bin = W.partitionBy("bin")
-    nth = F.row_number().over(by_bin.orderBy(shuffled_key(seed, key), key))
-    take = F.greatest(F.lit(1), F.floor(F.count("*").over(by_bin) * F.lit(ratio)))
-    return binned.withColumn("split", F.when(nth <= take, "val").otherwise("train"))
+    take = lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(ratio)))
+    split = first_by_hash(binned, ["bin"], take, seed, key, "split")
+    return split.withColumn("split", F.when(F.col("split"), "val").otherwise("train"))
 
 
 #: Size rules of the plain random splits: rows -> rows in eval.
@@ -262,30 +292,9 @@ SPLIT_RULES = {
 
 
 def random_split(df: DataFrame, rule: str, seed: int = 42, key: str = "audio_file") -> DataFrame:
-    """split = eval for as many rows as the rule says, by shuffled order.
-
-    The threshold is the shuffle key of that rank, found with one sorted limit on keys alone.
-    """
-    n = df.count()
-    take = int(df.sparkSession.range(1).select(SPLIT_RULES[rule](F.lit(n)).cast("long")).first()[0])
-    if take <= 0 or n == 0:
-        return df.withColumn("split", F.lit("train"))
-    numbered = ordinal_by_hash(df, seed, key)
-    return numbered.withColumn("split", F.when(F.col("__nth") < take, "eval").otherwise("train")).drop("__nth")
-
-
-def ordinal_by_hash(df: DataFrame, seed: int, key: str) -> DataFrame:
-    """df with __nth, the rank in shuffled order; ranges are the hash's first byte."""
-    h = shuffled_key(seed, key)
-    dealt = df.withColumn("__h", h).withColumn("__bucket", F.substring("__h", 1, 2))
-    sizes = dealt.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = sizes.select("__bucket", F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-    return (
-        dealt.withColumn("__within", F.row_number().over(W.partitionBy("__bucket").orderBy("__h", key)))
-        .join(F.broadcast(before), "__bucket")  # 256 rows at most
-        .withColumn("__nth", F.coalesce("__before", F.lit(0)) + F.col("__within") - 1)
-        .drop("__h", "__bucket", "__within", "__before")
-    )
+    """split = eval for as many rows as the rule says, by shuffled order."""
+    split = first_by_hash(df, [], SPLIT_RULES[rule], seed, key, "split")
+    return split.withColumn("split", F.when(F.col("split"), "eval").otherwise("train"))
 
 
 def split_drift(df: DataFrame) -> DataFrame:

@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.text import let
+from quern.operators.metadata import ordinal
 
 
-def char_ngrams(df: DataFrame, longest: int = 3) -> DataFrame:
+def char_ngrams(df: DataFrame, longest: int = 3, memory: int = 200_000) -> DataFrame:
     """token, n over all character 1-, 2- and 3-grams of text.
 
-    A text is split into characters once and n-grams are joined by index, so long texts cost no more a
-    character. Partial counts are made before any shuffle.
+    Each task counts n-grams batch by batch and sends a row for each distinct one when ``memory`` of them
+    are held, so the shuffle carries counts, not characters. A long text is read in pieces.
     """
 
-    def grams(chars: Column) -> Column:
-        def of(k: int) -> Column:
-            last = F.size(chars) - k
-            joined = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + j) for j in range(k)]))
-            return F.when(last >= 0, joined).otherwise(F.array().cast("array<string>"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["token", "n"])
+            held.clear()
+            return out
 
-        return F.concat(chars, *[of(k) for k in range(2, longest + 1)])
+        for batch in batches:
+            for text in batch.column(0):
+                whole = text.as_py() or ""
+                for at in range(0, len(whole), 1 << 16):
+                    part = whole[at : at + (1 << 16) + longest - 1]  # an n-gram counts where it begins
+                    size = min(1 << 16, len(whole) - at)
+                    held.update(part[:size])
+                    for k in range(2, longest + 1):
+                        held.update(map("".join, zip(*(part[j : size + j] for j in range(k)))))
+                    if len(held) > memory:
+                        yield rows()
+        yield rows()
 
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    return df.select(F.explode(let(chars, grams)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return df.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def top_tokens(counts: DataFrame, least: int, top: int) -> DataFrame:
@@ -40,11 +55,11 @@ def code_points(spark, first: int, last: int) -> DataFrame:
 
 def extended(vocab: DataFrame, candidates: DataFrame) -> DataFrame:
     """vocab (token, id) and the distinct candidates it lacks, with ids from the largest one on, in token
-    order. The new tokens are numbered in one task: a vocabulary extension is small by nature."""
+    order."""
     new = candidates.select("token").distinct().join(vocab.select("token"), "token", "left_anti")
     start = vocab.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    numbered = new.withColumn("nth", F.row_number().over(W.orderBy("token"))).crossJoin(F.broadcast(start))
-    return vocab.select("token", F.col("id").cast("long").alias("id")).unionByName(numbered.select("token", (F.col("top") + F.col("nth")).cast("long").alias("id")))
+    numbered = ordinal(new, "token").crossJoin(F.broadcast(start))  # one row
+    return vocab.select("token", F.col("id").cast("long").alias("id")).unionByName(numbered.select("token", (F.col("top") + 1 + F.col("ordinal")).cast("long").alias("id")))
 
 
 def matched_to_size(vocab: DataFrame, spare: DataFrame, size: int) -> DataFrame:
@@ -54,9 +69,9 @@ def matched_to_size(vocab: DataFrame, spare: DataFrame, size: int) -> DataFrame:
     n = vocab.count()
     if n >= size:
         return vocab.filter(F.col("id") < size)
-    new = spare.join(vocab.select("token"), "token", "left_anti").withColumn("nth", F.row_number().over(W.orderBy("rank", "token")))
-    have = new.filter(F.col("nth") <= size - n)
-    filled = vocab.select("token", F.col("id").cast("long").alias("id")).unionByName(have.select("token", (F.lit(n) + F.col("nth") - 1).cast("long").alias("id")))
+    have = spare.join(vocab.select("token"), "token", "left_anti").orderBy("rank", "token").limit(size - n)
+    have = ordinal(have, "rank", "token")
+    filled = vocab.select("token", F.col("id").cast("long").alias("id")).unionByName(have.select("token", (F.lit(n) + F.col("ordinal")).cast("long").alias("id")))
     at = filled.count()
     pads = spark.range(at, size).select(F.concat(F.lit("<pad_"), (F.col("id") - at).cast("string"), F.lit(">")).alias("token"), "id")
     return filled.unionByName(pads)

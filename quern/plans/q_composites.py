@@ -12,6 +12,7 @@ from quern.functions import text as x
 from quern.operators import metadata as m
 from quern.operators import segments as g
 from quern.operators import signal as sg
+from quern.operators import training as tr
 from quern.plans import q_metadata, q_segments, q_signal, q_sources, q_text
 from quern.plans import views as v
 from quern.plans.registry import query
@@ -117,6 +118,32 @@ def s20(spark, sf):
     return spark.range(1).select(F.lit(",".join(readers.preferred_files(names, "train"))).alias("train"), F.lit(",".join(readers.preferred_files(names, "eval"))).alias("eval"))
 
 
+@query("s22_log_losses_by_epoch", f"""WITH {v.STEPS_SQL},
+n AS (SELECT run, epoch, last_value(CASE WHEN epoch % 5 <> 4 THEN epoch END IGNORE NULLS) OVER (PARTITION BY run ORDER BY epoch) AS now FROM steps),
+x AS (SELECT run, epoch, CAST((epoch % 13) || '.5' AS DOUBLE) AS loss, 2 AS kind, 0 AS nth FROM steps WHERE epoch % 4 = 0
+  UNION ALL SELECT run, epoch, CAST((epoch % 17) || '.25' AS DOUBLE), 1, 0 FROM steps WHERE epoch % 5 = 4
+  UNION ALL SELECT run, now, CAST((epoch % 11) || '.75' AS DOUBLE), 0, -epoch FROM n WHERE epoch % 2 = 0 AND now IS NOT NULL)
+SELECT run, epoch, arg_max(loss, (kind, nth)) AS eval_loss FROM x GROUP BY 1, 2""")
+def s22(spark, sf):
+    """Log texts with all three patterns, one a run; an epoch whose own line has a loss opens no section."""
+    e = F.col("epoch")
+    s = lambda c: c.cast("string")
+    lines = F.array(
+        F.when(e % 5 == 4, F.concat(F.lit(" > EPOCH: "), s(e), F.lit(" --> EVALUATION AVERAGE LOSS: "), s(e % 17), F.lit(".25"))).otherwise(F.concat(F.lit("> EPOCH: "), s(e), F.lit("/40"))),
+        F.when(e % 4 == 0, F.concat(F.lit("Epoch "), s(e), F.lit(" ended with avg_loss: "), s(e % 13), F.lit(".5"))).otherwise("x"),
+        F.when(e % 2 == 0, "--> EVALUATION").otherwise("y"),
+        F.concat(F.lit(" | > avg_loss: "), s(e % 11), F.lit(".75")),
+    )
+    rows = v.steps(spark, sf).groupBy("run").agg(F.sort_array(F.collect_list(F.struct("epoch", F.array_join(lines, "\n").alias("s")))).alias("all"))
+    return tr.eval_loss_by_epoch(tr.log_lines(rows.select("run", F.array_join(F.col("all.s"), "\n").alias("text"))))
+
+
+@query("o07_longest_first", f"SELECT old, new, CAST(row_number() OVER (ORDER BY length(old) DESC, pos) AS INTEGER) AS rank FROM (VALUES {', '.join(f'({i}, {q_text._q(a)}, {q_text._q(b)})' for i, (a, b) in enumerate(t.ABBREVIATIONS.items()))}) v(pos, old, new)")
+def o07(spark, sf):
+    """Replacement rules in the order in which they are tried."""
+    return spark.createDataFrame([(a, b, i + 1) for i, (a, b) in enumerate(x.longest_first(t.ABBREVIATIONS))], "old string, new string, rank int")
+
+
 @query("s21_log_losses_by_step", f"WITH {v.STEPS_SQL}, {q_signal._LOG} SELECT run, count(*) AS n FROM lg GROUP BY run")
 def s21(spark, sf):
     """Whole log texts are split into numbered lines."""

@@ -238,11 +238,11 @@ def j07(spark, sf):
     return pages.join(seen, ["video_id", "language"], "left_semi").select("page_id")
 
 
-@query("j08_unprocessed_sources", """WITH s AS (SELECT c_custkey, 'in/o' || CAST(c_custkey AS VARCHAR) || '.mp4' AS source FROM customer), r AS (SELECT 'wavs/o' || CAST(o_orderkey AS VARCHAR) || '_' || CAST(o_custkey AS VARCHAR) || '_0.wav' AS audio_file FROM orders WHERE o_orderkey % 3 = 0)
+@query("j08_unprocessed_sources", """WITH s AS (SELECT c_custkey, 'in/o' || CAST(c_custkey AS VARCHAR) || '.mp4' AS source FROM customer), r AS (SELECT 'wavs/o' || CAST(o_orderkey * 2 AS VARCHAR) || '_' || CAST(o_custkey AS VARCHAR) || '_0.wav' AS audio_file FROM orders)
 SELECT source FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE split_part(audio_file, '_', 1) = 'wavs/' || split_part(split_part(source, '/', 2), '.', 1))""")
 def j08(spark, sf):
     s = table(spark, sf, "customer").select(F.concat(F.lit("in/o"), F.col("c_custkey").cast("string"), F.lit(".mp4")).alias("source"))
-    r = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.concat(F.lit("wavs/o"), F.col("o_orderkey").cast("string"), F.lit("_"), F.col("o_custkey").cast("string"), F.lit("_0.wav")).alias("audio_file"))
+    r = table(spark, sf, "orders").select(F.concat(F.lit("wavs/o"), (F.col("o_orderkey") * 2).cast("string"), F.lit("_"), F.col("o_custkey").cast("string"), F.lit("_0.wav")).alias("audio_file"))
     return m.unprocessed_sources(s, r)
 
 
@@ -268,31 +268,31 @@ def u01(spark, sf):
     return rows.unionByName(rows.filter("pos % 3 = 0")).groupBy("speaker_name").agg(F.count("*").alias("n"))
 
 
-@query("u02_union_distinct", f"WITH {v.META_SQL} SELECT text, lang FROM meta WHERE pos % 2 = 0 UNION SELECT text, lang FROM meta WHERE pos % 3 = 0")
+@query("u02_union_distinct", f"WITH {v.META_SQL} SELECT text, lang FROM meta WHERE pos % 3 <> 1 UNION SELECT text, lang FROM meta WHERE pos % 3 <> 2")
 def u02(spark, sf):
     rows = v.meta(spark, sf).select("text", "lang", "pos")
-    return rows.filter("pos % 2 = 0").unionByName(rows.filter("pos % 3 = 0")).drop("pos").distinct()
+    return rows.filter("pos % 3 <> 1").unionByName(rows.filter("pos % 3 <> 2")).drop("pos").distinct()
 
 
-@query("u03_merge_keep_first", f"""WITH {v.META_SQL}, u AS (SELECT 0 AS src, pos, audio_file, speaker_name FROM meta WHERE pos % 2 = 0
-  UNION ALL SELECT 1, pos, 'wavs/' || lpad(CAST(pos - pos % 4 AS VARCHAR), 8, '0') || '.wav', 'new' FROM meta WHERE pos % 3 = 0),
+@query("u03_merge_keep_first", f"""WITH {v.META_SQL}, u AS (SELECT 0 AS src, pos, audio_file, speaker_name FROM meta WHERE pos % 3 <> 1
+  UNION ALL SELECT 1, pos, 'wavs/' || lpad(CAST(pos - pos % 4 AS VARCHAR), 8, '0') || '.wav', 'new' FROM meta WHERE pos % 3 <> 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY audio_file ORDER BY src, pos) AS nth FROM u) SELECT audio_file, speaker_name, src FROM n WHERE nth = 1""")
 def u03(spark, sf):
     rows = v.meta(spark, sf).select("audio_file", "speaker_name", "pos")
-    other = rows.filter("pos % 3 = 0").select(F.concat(F.lit("wavs/"), F.lpad((F.col("pos") - F.col("pos") % 4).cast("string"), 8, "0"), F.lit(".wav")).alias("audio_file"), F.lit("new").alias("speaker_name"), "pos")
-    return m.merged([rows.filter("pos % 2 = 0"), other]).select("audio_file", "speaker_name", "src")
+    other = rows.filter("pos % 3 <> 2").select(F.concat(F.lit("wavs/"), F.lpad((F.col("pos") - F.col("pos") % 4).cast("string"), 8, "0"), F.lit(".wav")).alias("audio_file"), F.lit("new").alias("speaker_name"), "pos")
+    return m.merged([rows.filter("pos % 3 <> 1"), other]).select("audio_file", "speaker_name", "src")
 
 
-@query("u05_except", "SELECT DISTINCT lang, source FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT lang, source FROM documents WHERE doc_id % 7 = 1")
+@query("u05_except", "SELECT DISTINCT lang, source, n_chars FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT lang, source, n_chars FROM documents WHERE doc_id % 2 = 1")
 def u05(spark, sf):
     d = table(spark, sf, "documents")
-    return d.filter("doc_id % 2 = 0").select("lang", "source").distinct().subtract(d.filter("doc_id % 7 = 1").select("lang", "source"))
+    return d.filter("doc_id % 2 = 0").select("lang", "source", "n_chars").distinct().subtract(d.filter("doc_id % 2 = 1").select("lang", "source", "n_chars"))
 
 
-@query("u06_intersect", "SELECT lang, source FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lang, source FROM documents WHERE doc_id % 7 = 1")
+@query("u06_intersect", "SELECT lang, source, n_chars % 60 AS size FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lang, source, n_chars % 60 FROM documents WHERE doc_id % 2 = 1")
 def u06(spark, sf):
     d = table(spark, sf, "documents")
-    return d.filter("doc_id % 2 = 0").select("lang", "source").intersect(d.filter("doc_id % 7 = 1").select("lang", "source"))
+    return d.filter("doc_id % 2 = 0").selectExpr("lang", "source", "n_chars % 60 AS size").intersect(d.filter("doc_id % 2 = 1").selectExpr("lang", "source", "n_chars % 60 AS size"))
 
 
 @query("u07_standard_merge", f"""WITH {v.META_SQL}, {_FILES}, e AS (SELECT *, CASE WHEN pos % 10 = 0 THEN 1 ELSE 0 END AS split_ord FROM meta WHERE audio_file IN (SELECT audio_file FROM files))

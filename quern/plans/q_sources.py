@@ -216,6 +216,24 @@ def k02(spark, sf):
     return readers.metadata(spark, path).agg(F.count("*").alias("n"))
 
 
+@query("k03_csv_rows", '''SELECT CAST(p_partkey AS VARCHAR) || '|' || CASE WHEN p_partkey % 3 = 0 THEN '"say ""' || p_brand || '""|"' ELSE p_name END || '|' AS value FROM part''')
+def k03(spark, sf):
+    path = _folder(spark, "k03")
+    said = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('say "'), "p_brand", F.lit('"|'))).otherwise(F.col("p_name"))
+    writers.csv_rows(table(spark, sf, "part").select("p_partkey", said.alias("text"), F.lit("").alias("speaker_name")), path, "p_partkey", "text", "speaker_name")
+    return spark.read.text(path)
+
+
+@query("k11_save_phoneme_cache", "SELECT count(*) AS n, count(DISTINCT s_suppkey) AS ids FROM supplier")
+def k11(spark, sf):
+    """A second save of the same fingerprint takes the place of the first."""
+    folder = _folder(spark, "k11")
+    for column in ("s_name", "s_address"):
+        s = table(spark, sf, "supplier")
+        writers.phoneme_cache(s.select("s_suppkey", F.col(column if column in s.columns else "s_name").alias("ipa")), folder, "ab")
+    return readers.phoneme_cache(spark, folder, "ab").agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("ids"))
+
+
 @query("k04_raw_lines", "SELECT c_name || '|' || c_mktsegment AS value FROM customer")
 def k04(spark, sf):
     path = _folder(spark, "k04")

@@ -110,7 +110,17 @@ def f15(spark, sf):
     return table(spark, sf, "documents").select("doc_id", x.collapse(F.col("text")).alias("text"))
 
 
-@query("f16_html_unescape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS text FROM pages")
+#: The references that the pages hold; the other ones are tested on literal pairs.
+_REFERENCES = (("lt;?", "<"), ("gt;?", ">"), ("quot;?", '"'), ("#39;?", "'"), ("copy;?", "©"), ("middot;?", "·"), ("amp;?", "&"))
+
+
+def _unescape_sql(c: str) -> str:
+    for name, to in _REFERENCES:
+        c = f"regexp_replace({c}, '&{name}', {_q(to)}, 'g')"
+    return c
+
+
+@query("f16_html_unescape", f"SELECT page_id, {_unescape_sql('html')} AS text FROM pages")
 def f16(spark, sf):
     return table(spark, sf, "pages").select("page_id", x.html_unescape(F.col("html")).alias("text"))
 
@@ -302,7 +312,7 @@ def f45(spark, sf):
 @query("f46_prosody_info")
 def f46(spark, sf):
     i = x.prosody_info(F.col("s"))
-    return _head(spark, sf).select("doc_id", F.size(i["pauses"]).alias("pauses"), F.size(i["intonations"]).alias("intonations"), F.size(i["code_switches"]).alias("code_switches"))
+    return _head(spark, sf).select("doc_id", F.size(i["pauses"]).alias("pauses"), F.size(i["intonations"]).alias("intonations"), F.size(i["emphasis"]).alias("emphasis"), F.size(i["code_switches"]).alias("code_switches"))
 
 
 @query("f47_space_punctuation", f"WITH {_HEAD} SELECT doc_id, {_collapse('''regexp_replace(s, '([።፣፤፥፧፨.!?,;:])([^\\s<])', '\\1 \\2', 'g')''')} AS text FROM h")
@@ -423,12 +433,27 @@ def f60(spark, sf):
     return v.fidel(spark, sf).select("doc_id", g2p.lookup(F.col("text")).alias("ipa"))
 
 
-@query("f62_epenthesis")
+#: The generic rules with back-references, a consonant at a time: pairs of one cannot overlap another's.
+_CONSONANTS = "bcdfghjklmnpqrstvwxyzʃʒʔʕ"
+
+
+def _epenthesis_sql(c: str) -> str:
+    for p in t.EPENTHESIS:
+        c = f"regexp_replace({c}, {_q(p)}, '\\1ɨ\\2', 'g')"
+    return _replaces(f"regexp_replace({c}, 'ɨ+', 'ɨ', 'g')", [(f"{x}ɨ{x}", x + x) for x in _CONSONANTS])
+
+
+def _gemination_sql(c: str) -> str:
+    c = _replaces(c, [(g, g[: len(g) // 2] + "ː") for g in t.GEMINATES])
+    return _replaces(_replaces(c, [(x + x, x + "ː") for x in _CONSONANTS + "ɲ"]), [(f"{x}ʼ{x}ʼ", f"{x}ʼː") for x in _CONSONANTS + "ɲ"])
+
+
+@query("f62_epenthesis", f"WITH {v.FIDEL_SQL} SELECT doc_id, {_epenthesis_sql(_lookup_sql('text'))} AS ipa FROM fidel")
 def f62(spark, sf):
     return v.fidel(spark, sf).select("doc_id", g2p.epenthesis(g2p.lookup(F.col("text"))).alias("ipa"))
 
 
-@query("f63_gemination")
+@query("f63_gemination", f"WITH {v.FIDEL_SQL} SELECT doc_id, {_gemination_sql(_lookup_sql('text'))} AS ipa FROM fidel")
 def f63(spark, sf):
     return v.fidel(spark, sf).select("doc_id", g2p.gemination(g2p.lookup(F.col("text"))).alias("ipa"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.functions import paths
 
@@ -145,17 +147,22 @@ def cookie_audit(lines: DataFrame, now: int, required: tuple[str, ...] = COOKIES
 
 
 def decoded_subtitles(df: DataFrame, column: str = "content") -> DataFrame:
-    """Binary subtitle files as text: gzip is unpacked, then UTF-8, or Latin-1 where that fails."""
+    """Binary subtitle files as text: gzip is unpacked, then UTF-8, or Latin-1 where that fails. Only
+    gzip files go to Python, in Arrow batches."""
 
-    @F.udf(T.BinaryType())
-    def unpacked(b):
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
 
-        return gzip.decompress(bytes(b)) if b is not None and bytes(b[:2]) == b"\x1f\x8b" else b
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            own = [gzip.decompress(x) for x in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(own, b.schema.field(at).type))
 
-    raw = F.when(F.hex(F.substring(column, 1, 2)) == "1F8B", unpacked(F.col(column))).otherwise(F.col(column))
+    packed = F.coalesce(F.hex(F.substring(column, 1, 2)) == "1F8B", F.lit(False))
+    own = df.filter(packed).mapInArrow(unpacked, df.schema).unionByName(df.filter(~packed))
+    raw = F.col(column)
     text = F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, "ISO-8859-1"))
-    return df.withColumn("text", F.regexp_replace(text, "^﻿", "")).drop(column)
+    return own.withColumn("text", F.regexp_replace(text, "^\ufeff", "")).drop(column)
 
 
 def wav_duration(length: Column, rate: int, width: int = 2) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FORMATS = ("csv", "json", "metadata.txt", "ljspeech")
@@ -21,6 +23,18 @@ def raw_lines(df: DataFrame, path: str, *columns: str) -> None:
     df.select(F.concat_ws("|", *columns).alias("value")).write.mode("overwrite").text(path)
 
 
+def csv_rows(df: DataFrame, path: str, *columns: str, sep: str = "|") -> None:
+    """Rows without a header; only fields that hold the separator, a quote or a line break are quoted."""
+
+    def field(c: str) -> Column:
+        x = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+        alone = F.lit(len(columns) == 1) & (x == "")  # a row of one empty field is no empty line
+        return F.when(x.rlike(f'[{re.escape(sep)}"\r\n]') | alone, quoted).otherwise(x)
+
+    df.select(F.concat_ws(sep, *map(field, columns)).alias("value")).write.mode("overwrite").text(path)
+
+
 def exported(df: DataFrame, path: str, kind: str) -> None:
     """csv, json, metadata.txt (name|text|speaker) or ljspeech (stem|text|text) lines."""
     from quern.functions.paths import stem

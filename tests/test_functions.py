@@ -99,6 +99,41 @@ def test_prosody(spark):
     assert one(spark, text.with_emotion(F.lit("a"), "happy", 0.55)) in ("<emotion:happy:0.6>a</emotion>", "<emotion:happy:0.5>a</emotion>")
 
 
+def test_prosody_spans(spark):
+    s = "AB **so** _it_!! x?? :: CD"
+    i = one(spark, text.prosody_info(F.lit(s)))
+    want = [(m.start(), m.end(), kind) for p, kind in t.EMPHASIS for m in __import__("re").finditer(p, s)]
+    assert [tuple(x) for x in i.emphasis] == want
+    assert sorted((x.pos, x.mark) for x in i.pauses) == sorted((m.start(), p) for p in t.PAUSES for m in __import__("re").finditer(__import__("re").escape(p), s))
+    assert one(spark, text.prosody_info(F.lit(""))).emphasis == []
+
+
+def test_html_references(spark):
+    import html
+
+    own = ["&lt;b&gt; &amp;lt; &quot;x&#39;", "&#x41;&#65;&#x1F600;&#128512; &#0; &#xD800; &#1; &#128; &#x81; &#99999999999;", "&copy &copyx &notit; &notin; &ampx;",
+           "&nbsp;&eacute;&NewLine;&bogus; & &; &#; &#x; &#xZ;", "no reference", "&CounterClockwiseContourIntegral;&fjlig;", ""]
+    assert each(spark, text.html_unescape, own) == [html.unescape(x) for x in own]
+
+
+def test_sentences_are_packed(spark):
+    own = ["A short one. Another short sentence here.", "  Short.", "One two three four five six seven eight nine. Ten.", "x" * 75 + " end.", "Pi is 3.14 they say. Yes!", "a. b. c. d. e. f. g. h. i. j. k. l."]
+    got = each(spark, lambda c: text.split_sentences(c, 30), own)
+    assert got[0] == ["A short one.", "Another short sentence here."]
+    assert got[1] == ["Short."]
+    assert got[2] == ["One two three four five six", "seven eight nine. Ten."]
+    assert got[3] == ["x" * 30, "x" * 30, "x" * 15 + " end."]
+    assert got[4] == ["Pi is 3.14 they say. Yes!"]
+    assert got[5] == ["a. b. c. d. e. f. g. h. i. j.", "k. l."]
+
+
+def test_spelt_equals_a_lookup(spark):
+    p = t.phonemes()
+    s = "".join(p) + " ab\tሰ\u00a0ላ😀\n" + "".join(chr(i) for i in range(0x1200, 0x1380))
+    want = "".join(" " if x.isspace() else p.get(x, x) for x in s)
+    assert one(spark, g2p.lookup(F.lit(s))) == want
+
+
 def test_scripts(spark):
     runs = one(spark, text.script_runs(F.lit("12 ab, ሰላም 3 cd")))
     assert [(r.text, r.script) for r in runs] == [("12 ab, ", "latin"), ("ሰላም 3 ", "ethiopic"), ("cd", "latin")]
@@ -290,6 +325,21 @@ def test_ordinal_is_global(spark):
     assert got == sorted(((v, i) for i, v in enumerate(values)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
+def test_ordinal_of_any_key(spark):
+    values = [random.Random(4).choice([None, "a", "b10", "b9", "ä", ""]) for _ in range(300)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "a string, b int").repartition(5)
+    got = [(r.a, r.b) for r in metadata.ordinal(df, "a", "b").orderBy("ordinal").collect()]
+    assert got == sorted(((v, i) for i, v in enumerate(values)), key=lambda x: (x[0] is not None, (x[0] or "").encode(), x[1]))
+    assert [r.ordinal for r in metadata.ordinal(df, "a", "b").orderBy("ordinal").collect()] == list(range(300))
+
+
+def test_rows_of_one_key_share_a_split(spark):
+    df = spark.range(200).select((F.col("id") % 20).cast("string").alias("audio_file"), F.lit("x" * 60).alias("text"))
+    for out in (metadata.random_split(df, "eval_floor"), metadata.stratified_split(df)):
+        assert out.groupBy("audio_file").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+        assert out.select("split").distinct().count() == 2 and out.count() == 200
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 101])
 def test_split_sizes(spark, n):
     df = spark.range(n).select(F.col("id").cast("string").alias("audio_file"))
