@@ -2,12 +2,18 @@
 
 Words are counted over all training documents by Spark. The model's symbols are the ``frequent``
 commonest words, classes of the other words by their last two bytes (the ``endings`` commonest, and
-one class for the rest), and the end. A log-bilinear model gives the next symbol after the last
-one; a word of a class then has its add-one share of the class, where unseen words are one type of
-their class. The model is trained on symbol pairs counted in every training document (their number
-is bounded by the square of the symbols), with the exact expectation of the noise term, so
-training does not sample; batched matrix products and a softmax turn scores into normalised
-log-probabilities.
+one class for the rest), and the end. The last three symbols predict the next one: q is the sum over
+positions j of w_j r C_j, with r the vector of the symbol there, and the scores are q . t + b. The output
+is factored: q gives a distribution over groups of symbols, then one over the symbols of a group, both
+normalised; a word of a class then has its add-one share of the class, where unseen words are one type of
+their class.
+
+Spark counts, in every training document, how often a symbol follows another at distances one to three
+(at most three times the square of the symbols, whatever the input). These counts are the batches of the
+training, with the exact expectation of the noise term, so training does not sample: each position learns
+its own pairs, and ``WEIGHTS`` (parameters) discount the farther positions, which are no news after the
+nearer ones. Scoring takes the contexts of a batch of texts as one matrix product for the groups and one
+for each group's symbols.
 
 Counts of words beyond the ``table`` commonest never leave Spark: documents send a row for each
 distinct such word, joined to the counts by word; the hot words are all in the table.
@@ -31,75 +37,146 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fold, id_and_text, sliced, texts
+from quern.llm.common import fold, id_and_text, resident, sliced, texts
 from quern.session import stored
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()  # bytes: A-Z and the six ASCII blanks only
 
 
-class LogBilinear:
-    """score(w | context) = q . r_w + b_w with q = sum over positions of C_j r_{w_j}."""
+#: What the last symbol, the one before it and the one before that weigh.
+WEIGHTS = (1.0, 0.4, 0.2)
 
-    def __init__(self, size: int, positions: int, dim: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.source = rng.normal(0, 0.1, (size, dim))
-        self.target = rng.normal(0, 0.1, (size, dim))
-        self.turn = np.stack([np.eye(dim) for _ in range(positions)])
-        self.bias = np.full(size, -np.log(size))
 
-    def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.source[contexts[:, j]] @ c for j, c in enumerate(self.turn))
+def _adam(parameters: dict[str, np.ndarray], gradient, rounds: int, rate: float) -> None:
+    """Changes the parameters in place; gradient() gives theirs."""
+    first = {n: np.zeros_like(x) for n, x in parameters.items()}
+    second = {n: np.zeros_like(x) for n, x in parameters.items()}
+    for i in range(1, rounds + 1):
+        step = rate * min(1.0, 2 * (1 - i / (rounds + 1)))
+        for n, g in gradient().items():
+            first[n] += 0.1 * (g - first[n])
+            second[n] += 0.01 * (g * g - second[n])
+            parameters[n] -= step * (first[n] / (1 - 0.9**i)) / (np.sqrt(second[n] / (1 - 0.99**i)) + 1e-12)
 
-    def log10(self, contexts: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of every symbol after each context."""
-        s = self.predicted(contexts) @ self.target.T + self.bias
-        s -= s.max(axis=1, keepdims=True)
-        return (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
 
-    def train(self, contexts: np.ndarray, counts: np.ndarray, noise: float = 8.0, rounds: int = 200, rate: float = 0.03):
-        """counts: contexts x symbols. Adam on the NCE objective, noise drawn from the unigrams.
+def _contrast(scores: np.ndarray, seen: np.ndarray, share: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """The NCE objective's slope by score: seen pairs against the expected noise pairs (share)."""
+    p = 1 / (1 + np.exp(-np.clip(scores - shift, -30, 30)))
+    return share * p - seen * (1 - p)
+
 
-        Each context's noise term is its expectation over all symbols, so a round is exact.
-        """
-        total = counts.sum()
+class LogBilinear:
+    """Scores q . t_w + b_w with q = sum over positions of w_j r_{c_j} C_j, normalised in groups."""
+
+    def __init__(self, size: int, weights: tuple[float, ...] = WEIGHTS, dim: int = 32, groups: int = 32, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        f = np.float32
+        self.weights = weights
+        self.source = rng.normal(0, 0.1, (size, dim)).astype(f)
+        self.target = rng.normal(0, 0.1, (size, dim)).astype(f)
+        self.turn = np.stack([np.eye(dim, dtype=f) for _ in weights])
+        self.bias = np.full(size, -np.log(size), f)
+        self.group = np.arange(size) * min(groups, size) // size
+        self._settle(np.zeros((max(self.group) + 1, dim), f), np.zeros(max(self.group) + 1, f))
+
+    def _settle(self, heads: np.ndarray, head_bias: np.ndarray) -> None:
+        self.heads, self.head_bias = heads, head_bias
+        self.members = [np.flatnonzero(self.group == g) for g in range(len(heads))]
+        self.within = np.empty(len(self.group), np.int64)
+        for own in self.members:
+            self.within[own] = np.arange(len(own))
+        #: by position: what a symbol there adds to q
+        self.adds = [w * (self.source @ c) for w, c in zip(self.weights, self.turn, strict=True)]
+
+    def train(self, counts: np.ndarray, noise: float = 8.0, rounds: int = 150, rate: float = 0.03) -> LogBilinear:
+        """counts: distances x symbols x next symbols. Noise comes from the unigrams; each symbol's noise
+        term is its expectation over all next symbols, so a round is exact."""
+        total = counts[0].sum()
         if total == 0:
             return self
-        w = (counts / total).astype(np.float32)
         size = counts.shape[1]
-        unigram = (counts.sum(axis=0) + 0.5) / (total + 0.5 * size)
-        self.bias = np.log(unigram)
-        shift = np.log(noise * unigram).astype(np.float32)
-        share = (w.sum(axis=1, keepdims=True) * (noise * unigram)[None, :]).astype(np.float32)
-        names = ("source", "target", "turn", "bias")
-        first = {n: np.zeros_like(getattr(self, n)) for n in names}
-        second = {n: np.zeros_like(getattr(self, n)) for n in names}
-        for t in range(1, rounds + 1):
-            q = self.predicted(contexts)
-            delta = (q @ self.target.T + self.bias).astype(np.float32) - shift
-            p = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
-            g = share * p - w * (1 - p)
-            gq = g @ self.target
-            grad = {"target": g.T @ q, "bias": g.sum(axis=0), "turn": np.empty_like(self.turn), "source": np.zeros_like(self.source)}
-            for j, c in enumerate(self.turn):
-                grad["turn"][j] = self.source[contexts[:, j]].T @ gq
-                np.add.at(grad["source"], contexts[:, j], gq @ c.T)
-            step = rate * min(1.0, 2 * (1 - t / (rounds + 1)))
-            for n in names:
-                first[n] = 0.9 * first[n] + 0.1 * grad[n]
-                second[n] = 0.99 * second[n] + 0.01 * grad[n] ** 2
-                move = (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.99**t)) + 1e-12)
-                setattr(self, n, getattr(self, n) - step * move)
+        seen = (counts / total).astype(np.float32)
+        left = seen.sum(axis=2, keepdims=True)
+        unigram = ((counts[0].sum(axis=0) + 0.5) / (total + 0.5 * size)).astype(np.float32)
+        self.bias[:] = np.log(unigram)
+        shift = np.log(noise * unigram)
+
+        def gradient() -> dict[str, np.ndarray]:
+            out = {n: np.zeros_like(x) for n, x in own.items()}
+            for j, turn in enumerate(self.turn):
+                q = self.source @ turn
+                g = _contrast(q @ self.target.T + self.bias, seen[j], left[j] * (noise * unigram), shift)
+                gq = g @ self.target
+                out["target"] += g.T @ q
+                out["bias"] += g.sum(axis=0)
+                out["turn"][j] = self.source.T @ gq
+                out["source"] += gq @ turn.T
+            return out
+
+        own = {"source": self.source, "target": self.target, "turn": self.turn, "bias": self.bias}
+        _adam(own, gradient, rounds, rate)
+
+        # like symbols share a group: cut along the main direction of their vectors, by equal shares
+        main = np.linalg.svd((self.target - unigram @ self.target) * np.sqrt(unigram)[:, None], full_matrices=False)[2][0]
+        order = np.argsort(self.target @ main, kind="stable")
+        room = 0.5 * np.cumsum(unigram[order]) / unigram.sum() + 0.5 * np.arange(1, size + 1) / size
+        n = max(self.group) + 1
+        cut = np.minimum((room * n).astype(np.int64), n - 1)
+        self.group = np.empty(size, np.int64)
+        self.group[order] = np.unique(cut, return_inverse=True)[1]  # none is empty
+        n = max(self.group) + 1
+        by_group = np.zeros((len(self.turn), size, n), np.float32)
+        for g in range(n):
+            by_group[:, :, g] = seen[:, :, self.group == g].sum(axis=2)
+        share = np.bincount(self.group, weights=unigram, minlength=n).astype(np.float32)
+        heads = {"heads": np.zeros((n, self.source.shape[1]), np.float32), "bias": np.log(share)}
+        qs = [self.source @ turn for turn in self.turn]
+
+        def head_gradient() -> dict[str, np.ndarray]:
+            out = {k: np.zeros_like(x) for k, x in heads.items()}
+            for j, q in enumerate(qs):
+                g = _contrast(q @ heads["heads"].T + heads["bias"], by_group[j], left[j] * (noise * share), np.log(noise * share))
+                out["heads"] += g.T @ q
+                out["bias"] += g.sum(axis=0)
+            return out
+
+        _adam(heads, head_gradient, rounds, rate)
+        self._settle(heads["heads"], heads["bias"])
         return self
 
+    @staticmethod
+    def _softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        s -= s.max(axis=1, keepdims=True)
+        return s[np.arange(len(s)), at] - np.log(np.exp(s).sum(axis=1))
+
+    def log10(self, contexts: np.ndarray, following: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
+        """Normalised log10 probability of each next symbol after its context (last symbol first)."""
+        out = np.empty(len(following), np.float32)
+        for i in range(0, len(following), batch):
+            c, w = contexts[i : i + batch], following[i : i + batch]
+            q = self.adds[0][c[:, 0]]
+            for j in range(1, len(self.adds)):
+                q = q + self.adds[j][c[:, j]]
+            group = self.group[w]
+            p = self._softmax(q @ self.heads.T + self.head_bias, group)
+            order = np.argsort(group, kind="stable")
+            ends = np.searchsorted(group[order], np.arange(len(self.members) + 1))
+            for g in np.unique(group).tolist():
+                own = order[ends[g] : ends[g + 1]]
+                m = self.members[g]
+                p[own] += self._softmax(q[own] @ self.target[m].T + self.bias[m], self.within[w[own]])
+            out[i : i + batch] = p / np.log(10)
+        return out
+
 
 class Model:
     """Everything a scoring task needs; bounded by ``table`` words and the network."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, frequent: int, endings: list[bytes], class_size: np.ndarray, tokens: int, types: int, ends: int, pairs: LogBilinear):
+    def __init__(self, words: list[bytes], counts: np.ndarray, frequent: int, endings: list[bytes], class_size: np.ndarray, tokens: int, types: int, ends: int, net: LogBilinear):
         self.key = uuid.uuid4().hex
         self.words, self.counts, self.tokens, self.types, self.ends = words, counts, tokens, types, ends
-        self.frequent, self.endings, self.pairs = frequent, endings, pairs
+        self.frequent, self.endings, self.net = frequent, endings, net
         #: log10 of a class's tokens and types plus one, its unseen type
         self.class_log10 = np.log10(class_size + 1.0)
 
@@ -111,7 +188,6 @@ class Model:
         self.index = {w: i for i, w in enumerate(self.words)}
         self.class_of = {e: self.frequent + i for i, e in enumerate(self.endings)}
         self.end = self.frequent + len(self.endings) + 1
-        self.pair_log10 = self.pairs.log10(np.arange(self.end + 1)[:, None]).astype(np.float32)
         self.base_log10 = self.base(self.counts)
         self.symbol = np.array([i if i < self.frequent else self.symbol_of(w) for i, w in enumerate(self.words)], np.int64)
         rare = self.symbol >= self.frequent
@@ -123,16 +199,14 @@ class Model:
         return self.class_of.get(word[-2:], self.end - 1)
 
 
-_ready: dict[str, Model] = {}
-
-
 def _worker_model(shared) -> Model:
     m = shared.value
-    if m.key not in _ready:
-        _ready.clear()
+
+    def made() -> Model:
         m.ready()
-        _ready[m.key] = m
-    return _ready[m.key]
+        return m
+
+    return resident(m.key, made)
 
 
 def word_counts(docs: DataFrame, modulus: int, held_out: int, memory: int = 150_000) -> DataFrame:
@@ -159,8 +233,9 @@ def word_counts(docs: DataFrame, modulus: int, held_out: int, memory: int = 150_
     return id_and_text(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def symbol_counts(docs: DataFrame, words: list[bytes], endings: list[bytes], modulus: int, held_out: int) -> DataFrame:
-    """(code, n): how often symbol code % size follows symbol code // size."""
+def symbol_counts(docs: DataFrame, words: list[bytes], endings: list[bytes], distances: int, modulus: int, held_out: int) -> DataFrame:
+    """(code, n): code is (distance - 1, symbol, the symbol so far after it) in one number; documents begin
+    with as many ends as there are distances."""
     shared = docs.sparkSession.sparkContext.broadcast((words, endings))
     size = len(words) + len(endings) + 2
 
@@ -169,42 +244,47 @@ def symbol_counts(docs: DataFrame, words: list[bytes], endings: list[bytes], mod
         symbol = {w: i for i, w in enumerate(own_words)}
         class_of = {e: len(own_words) + i for i, e in enumerate(own_endings)}
         other, end = size - 2, size - 1
-        pairs = np.zeros(size * size, np.int64)
-        held: list[np.ndarray] = []
-        room = 1 << 20
+        pairs = np.zeros((distances, size * size), np.int64)
+        held: list[list[np.ndarray]] = [[] for _ in range(distances)]
+        room = 1 << 19
 
         def settle():
-            nonlocal held, room
-            if held:
-                pairs[:] += np.bincount(np.concatenate(held), minlength=len(pairs))
-            held, room = [], 1 << 20
+            nonlocal room
+            for own, found in zip(pairs, held, strict=True):
+                if found:
+                    own += np.bincount(np.concatenate(found), minlength=len(own))
+                    found.clear()
+            room = 1 << 19
 
         for b in sliced(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 if fold(doc, modulus) == held_out:
                     continue
-                seq = [end]
+                seq = [end] * distances
                 for w in words_of(text):
                     k = symbol.get(w)
                     seq.append(class_of.get(w[-2:], other) if k is None else k)
                 seq.append(end)
                 at = np.array(seq, np.int64)
-                held.append(at[:-1] * size + at[1:])
+                for d, found in enumerate(held, 1):
+                    found.append(at[distances - d : -d] * size + at[distances:])
                 room -= len(at)
                 if room < 0:
                     settle()
         settle()
-        code = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(pairs[code])], names=["code", "n"])
+        flat = pairs.reshape(-1)
+        code = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(flat[code])], names=["code", "n"])
 
     return id_and_text(docs).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def learn(
-    docs: DataFrame, counts: DataFrame, frequent: int = 800, endings: int = 200, table: int = 1 << 17, modulus: int = 7, held_out: int = 2
+    docs: DataFrame, counts: DataFrame, frequent: int = 800, endings: int = 200, table: int = 1 << 17, modulus: int = 7, held_out: int = 2,
+    weights: tuple[float, ...] = WEIGHTS,
 ) -> Model:
     """counts: what word_counts() gives. Collected: ``table`` words, the counts of all endings of two
-    bytes (65792 at most), and as many pair counts as the square of the symbols at most."""
+    bytes (65792 at most), and for each position as many pair counts as the square of the symbols at most."""
     head = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"),
         F.count("*").alias("types"),
@@ -224,12 +304,13 @@ def learn(
     ranked = sorted(sizes, key=lambda e: (-sizes[e][0], e))
     chosen = ranked[:endings]
     class_size = np.array([sum(sizes[e]) for e in chosen] + [sum(sum(sizes[e]) for e in ranked[endings:])], float)
-    got = symbol_counts(docs, words[:frequent], chosen, modulus, held_out).toPandas().sort_values("code")
+    got = symbol_counts(docs, words[:frequent], chosen, len(weights), modulus, held_out).toArrow()
     size = frequent + len(chosen) + 2
-    pair = np.zeros(size * size)
-    pair[got["code"].to_numpy(np.int64)] = got["n"].to_numpy()
-    pairs = LogBilinear(size, 1, 32).train(np.arange(size)[:, None], pair.reshape(size, size))
-    return Model(words, n, frequent, chosen, class_size, head["tokens"], head["types"], head["ends"], pairs)
+    pair = np.zeros(len(weights) * size * size, np.float32)
+    pair[got["code"].to_numpy()] = got["n"].to_numpy()
+    del got
+    net = LogBilinear(size, weights).train(pair.reshape(len(weights), size, size))
+    return Model(words, n, frequent, chosen, class_size, head["tokens"], head["types"], head["ends"], net)
 
 
 def _parts(docs: DataFrame, model: Model) -> DataFrame:
@@ -256,24 +337,31 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
                 own.clear()
             return b
 
+        depth = len(m.net.weights)
         for b in sliced(batches):
-            for row, doc, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), texts(b), strict=True):
+            ids = list(zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), strict=True))
+            seqs, plain = [], []
+            for text in texts(b):
                 own = words_of(text)
                 at = np.array([get(w, -1) for w in own], np.int64)
                 known = at >= 0
-                symbols = np.empty(len(own) + 2, np.int64)
-                symbols[0] = symbols[-1] = end
-                symbols[1:-1][known] = m.symbol[at[known]]
+                symbols = np.full(len(own) + depth + 1, end, np.int64)
+                symbols[depth:-1][known] = m.symbol[at[known]]
                 odd = np.flatnonzero(~known).tolist()
                 for i in odd:
-                    symbols[i + 1] = m.symbol_of(own[i])
-                put(
-                    row, doc, None, None, None, len(own) + 1, int(known.sum()) + (m.ends > 0),
-                    float(m.base_log10[at[known]].sum() + m.base(np.array(m.ends))),
-                    float(m.pair_log10[symbols[:-1], symbols[1:]].sum(dtype=np.float64) + m.share_log10[at[known]].sum()),
-                )
-                for w, n in Counter(own[i] for i in odd).items():
-                    put(row, doc, w, n, float(m.class_log10[m.symbol_of(w) - m.frequent]), 0, 0, 0.0, 0.0)
+                    symbols[i + depth] = m.symbol_of(own[i])
+                seqs.append(symbols)
+                plain.append((len(own) + 1, int(known.sum()), float(m.base_log10[at[known]].sum()), float(m.share_log10[at[known]].sum()), Counter(own[i] for i in odd)))
+            if not seqs:
+                continue
+            sizes = np.array([len(x) - depth for x in seqs])
+            contexts = np.concatenate([np.stack([x[depth - j - 1 : len(x) - j - 1] for j in range(depth)], axis=1) for x in seqs])
+            next_log10 = m.net.log10(contexts, np.concatenate([x[depth:] for x in seqs]))
+            said = np.add.reduceat(next_log10.astype(np.float64), np.cumsum(sizes) - sizes)
+            for (row, doc), (n, n_known, base, share, odd), net in zip(ids, plain, said.tolist(), strict=True):
+                put(row, doc, None, None, None, n, n_known + (m.ends > 0), base + float(m.base(np.array(m.ends))), net + share)
+                for w, times in odd.items():
+                    put(row, doc, w, times, float(m.class_log10[m.symbol_of(w) - m.frequent]), 0, 0, 0.0, 0.0)
                 if len(out["row"]) > 50_000:
                     yield flush()
         if out["row"]:
@@ -286,11 +374,12 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def lm_scores(
-    docs: DataFrame, frequent: int = 800, endings: int = 200, table: int = 1 << 17, modulus: int = 7, held_out: int = 2
+    docs: DataFrame, frequent: int = 800, endings: int = 200, table: int = 1 << 17, modulus: int = 7, held_out: int = 2,
+    weights: tuple[float, ...] = WEIGHTS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row."""
     counts = stored(word_counts(docs, modulus, held_out), "lm-counts")
-    model = learn(docs, counts, frequent, endings, table, modulus, held_out)
+    model = learn(docs, counts, frequent, endings, table, modulus, held_out, weights)
     parts = stored(_parts(docs, model), "lm-parts")
     odd = (
         parts.filter("word is not null")
