@@ -1,7 +1,8 @@
 """Chat formatting as prefix trees.
 
 Conversations that share their first turns are laid side by side: each conversation's turns stream
-in order, chained digests of its first turns make a sort key, and rows are range-partitioned by
+in order, chained digests of its first ``levels`` (8) turns make a sort key (turns shared beyond those
+are shared in the tree only where conv_id order lays them side by side), and rows are range-partitioned by
 (key, conversation), so conversations under a hot first turn spread over partitions. Every
 partition then streams trees: a shared turn is emitted once, depth-first, and each node carries its
 position along its path, the intervals of the emitted text that it may attend to (its ancestors),

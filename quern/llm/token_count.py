@@ -1,14 +1,14 @@
 """Token counts by a whole-token shortcut.
 
-Before any text is read, every vocabulary string is encoded alone: those that give exactly one
-token are proven whole tokens, so a pre-token equal to one costs a table lookup. Only the other
+Before any text is read, the driver encodes every vocabulary string alone: those that give exactly one
+token are proven whole tokens and sent to the workers, so a pre-token equal to one costs a table lookup. Only the other
 pre-tokens are merged, once per distinct one. Each distinct pre-token of a text is looked up once
 and weighted by its count.
 
 Defined results:
 * null or empty text: 0 bytes, 0 tokens.
 * special strings inside a text count as the library treats them: one token, cutting the text.
-* very long texts: pre-tokens are found one by one, never as a list over the whole text.
+* texts over a million characters: pre-tokens are found one by one, not as a list; the counts are the same.
 * repeated rows and null ids: one result row for each input row. Other columns are ignored.
 """
 
@@ -24,38 +24,42 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.common import id_and_text, per_batch, texts, tokenizer_path
+from quern.llm.common import id_and_text, per_batch, resident, texts, tokenizer_path
 
 #: Fixed value: the published split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(4)
-def _loaded(path: str):
-    """(encode alone -> token count, whole tokens, special strings pattern) of a tokenizer file."""
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(4)
+def proof(path: str) -> tuple[frozenset[str], tuple[str, ...]]:
+    """The whole tokens of a tokenizer file (as many as its vocabulary at most) and its special strings."""
+    t = _tokenizer(path)
     special = [x.content for x in t.get_added_tokens_decoder().values()]
     strings = [s for s in (t.decode([i]) for i in range(t.get_vocab_size())) if s and "�" not in s and s not in special]
     encoded = t.encode_batch(strings, add_special_tokens=False)
     found = regex.compile(PATTERN)
-    whole = {s for s, e in zip(strings, encoded, strict=True) if len(e.ids) == 1 and found.fullmatch(s)}
-    cut = regex.compile("|".join(map(regex.escape, special))) if special else None
-
-    def alone(s: str) -> int:
-        return len(t.encode(s, add_special_tokens=False).ids)
-
-    return alone, whole, cut
+    return frozenset(s for s, e in zip(strings, encoded, strict=True) if len(e.ids) == 1 and found.fullmatch(s)), tuple(special)
 
 
 class TokenCounter:
-    def __init__(self, path: str, memory: int = 1 << 18):
-        self.alone, self.whole, self.cut = _loaded(path)
+    """At most ``memory`` merged pre-tokens are kept, of 64 characters at most each."""
+
+    def __init__(self, path: str, proven: tuple[frozenset[str], tuple[str, ...]] | None = None, memory: int = 1 << 18):
+        self.whole, self.special = proven or proof(path)
+        self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pieces = regex.compile(PATTERN)
         self.merged: dict[str, int] = {}
-        self.memory = memory
+        self.memory, self.tokenizer = memory, _tokenizer(path)
+
+    def alone(self, piece: str) -> int:
+        return len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def _plain(self, text: str) -> int:
         n, whole, merged = 0, self.whole, self.merged
@@ -76,7 +80,7 @@ class TokenCounter:
         return n
 
     def count(self, text: str) -> int:
-        if self.cut is None or "<|" not in text:
+        if not any(x in text for x in self.special):
             return self._plain(text)
         cuts = len(self.cut.findall(text))
         return cuts + sum(self._plain(x) for x in self.cut.split(text) if x)
@@ -85,9 +89,10 @@ class TokenCounter:
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for every row."""
     path = path or tokenizer_path("byte_bpe_50k.json")
+    proven = docs.sparkSession.sparkContext.broadcast(proof(path))
 
     def start():
-        counter = TokenCounter(path)
+        counter = resident(("token-count", path), lambda: TokenCounter(path, proven.value))
 
         def f(batch: pa.RecordBatch) -> dict:
             own = texts(batch)
