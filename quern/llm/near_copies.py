@@ -199,7 +199,7 @@ def _sifted(held: Postings, q: np.ndarray, m: np.ndarray, klass: np.ndarray, sta
     return q[keep], m[keep]
 
 
-def near_copies(docs: DataFrame, percent: int = 80, tile: int = 512) -> DataFrame:
+def near_copies(docs: DataFrame, percent: int = 80, tile: int = 2048) -> DataFrame:
     """One row per row of docs: doc_id, text_key, node, component_id (the smallest doc_id reachable)
     and part (the class's own number)."""
     rows = stored(signatures(docs), "near-signatures")
