@@ -8,7 +8,7 @@ fingerprints are compared as bit planes by carry-save counters; pairs within the
 and a candidate is a link if the whole sets, counted with integers, are of similarity 0.8 or more.
 
 Equal sets are one node. Candidates are checked in rounds: first each node's closest one in a bucket,
-then its closest ones outside its class so far, at last every candidate whose ends are in different
+then its closest one outside its class so far, at last every candidate whose ends are in different
 classes. In that round the members of a bucket bring 32 bits of each shingle, and candidates whose
 common ones are too few are dropped where they are found, so that the texts near a large group but
 outside of it give no rows. No candidate goes unchecked unless its ends are connected already.
@@ -40,7 +40,7 @@ from quern.session import stored
 
 WIDTH, BANDS, ROWS, RADIUS = 5, 24, 5, 21
 #: How many closest candidates of a node a round checks; the last round checks all that are left.
-ROUNDS = (1, 4, None)
+ROUNDS = (1, 1, None)
 _RNG = np.random.default_rng(8)
 _BY_ROW = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BY_BAND = _RNG.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
