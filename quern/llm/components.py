@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import shared_dir
+from quern.session import shared_dir, shuffles_freed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,6 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
     Self-links, repeated links and nulls are ignored; an empty table gives an empty result.
     """
     shared_dir(edges.sparkSession)
+    with shuffles_freed(edges.sparkSession):
+        e = _stars(edges)
+    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(u, v): every linked node but the smallest of its component, with that one."""
     e = (
         edges.filter("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -46,7 +54,5 @@ def components(edges: DataFrame) -> DataFrame:
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
         ).first()
         if now == last:
-            break
+            return e
         last = now
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
