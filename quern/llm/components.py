@@ -34,8 +34,7 @@ def _stars(edges: DataFrame) -> DataFrame:
         .distinct()
         .checkpoint()
     )
-    last = None
-    while True:
+    while not _is_stars(e):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour of u is linked to u's least neighbour
@@ -49,10 +48,13 @@ def _stars(edges: DataFrame) -> DataFrame:
             low.select("u", F.col("m").alias("v"))
         )
         e = small.filter("u <> v").distinct().checkpoint()
-        now = e.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if now == last:
-            return e
-        last = now
+    return e
+
+
+def _is_stars(e: DataFrame) -> bool:
+    """Whether every u has one link, to a v that is no u; u > v, so v is then its component's smallest."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        e.select("v", F.lit(0), F.lit(1))
+    )
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return each.filter("up > 1 or (up > 0 and down > 0)").agg(F.count("*").alias("n")).first()["n"] == 0
