@@ -199,6 +199,19 @@ def _sifted(held: Postings, q: np.ndarray, m: np.ndarray, klass: np.ndarray, sta
     return q[keep], m[keep]
 
 
+def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) of the classes so far and the new links: only classes that these touch are walked again."""
+    if known is None:
+        return components(links)
+    at = [known.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
+    between = links.join(at[0], "a", "left").join(at[1], "b", "left")
+    between = between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = stored(components(between), "near-merged")
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    moved = known.join(to, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return moved.unionAll(merged.join(known, "node", "left_anti").select("node", "component"))
+
+
 def near_copies(docs: DataFrame, percent: int = 80, tile: int = 2048) -> DataFrame:
     """One row per row of docs: doc_id, text_key, node, component_id (the smallest doc_id reachable)
     and part (the class's own number)."""
@@ -210,7 +223,7 @@ def near_copies(docs: DataFrame, percent: int = 80, tile: int = 2048) -> DataFra
     members = stored(placed.join(shared, ["mask", "bucket"]), "near-members")
     sets = stored(_sets(docs, members.select("node").distinct().join(nodes, "node").select("node", "least")), "near-sets")
 
-    links = checked = known = None
+    checked = known = None
     klass = F.col("node")
     for most in ROUNDS:
         own = members
@@ -236,8 +249,7 @@ def near_copies(docs: DataFrame, percent: int = 80, tile: int = 2048) -> DataFra
         found = stored(found, "near-candidates")
         good = stored(_similar(found, sets, percent), "near-links")
         checked = found if checked is None else checked.unionAll(found)
-        links = good if links is None else links.unionAll(good)
-        known = stored(components(links), "near-classes")
+        known = stored(_joined(known, good), "near-classes")
 
     part = F.coalesce("component", "node").alias("part")
     classes = nodes.join(known, "node", "left").select("node", "least", part)
