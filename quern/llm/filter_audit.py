@@ -48,6 +48,9 @@ def odd_symbols(text: str, raw: bytes, words: list[bytes]) -> bool:
     return len(raw) != len(raw.translate(None, ODD))
 
 
+#: Bytes of text that a routed partition gets, as the corpus's counted size deals them out.
+ROUTED = 64 << 20
+
 #: By letter; the letter after the last one here stands for exact copies.
 FILTERS: dict[str, Filter] = {"A": short, "B": repetitive, "C": shouting, "D": odd_symbols}
 COPY = "E"
@@ -141,7 +144,8 @@ def masks(
                 for where, n in parts.items():
                     yield doc, where, mask, n
 
-    n = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(-(-size // ROUTED), int(spark.conf.get("spark.sql.shuffle.partitions")))
     routed = rows.mapPartitions(settled).repartitionAndSortWithinPartitions(n, lambda key: key)
     return spark.createDataFrame(
         routed.mapPartitions(resolved), "doc_id long, part string, mask int, n long", verifySchema=False
