@@ -1,6 +1,6 @@
 """Word lists, character tables and patterns that results depend on.
 
-All of these are plain data in natural order; tables of over 200 entries are built from a rule.
+All of these are plain data in natural order; the syllabary's phonemes follow from its rule.
 """
 
 from __future__ import annotations
@@ -90,39 +90,43 @@ def phonemes() -> dict[str, str]:
     return out | PUNCTUATION
 
 
-#: The fallback's forms by letter, where the fifth differs from the table's.
-LABIOVELAR_FALLBACK = {"ቈ": "qʷ", "ኰ": "kʷ", "ጐ": "gʷ", "ዀ": "xʷ"}
-LABIOVELAR_FALLBACK_FORMS = ((0, "ə"), (2, "u"), (3, "a"), (4, "e"), (5, "ɨ"))
-
-
-def labiovelars_fallback() -> dict[str, str]:
-    return {chr(ord(c) + i): p + v for c, p in LABIOVELAR_FALLBACK.items() for i, v in LABIOVELAR_FALLBACK_FORMS}
-
+# --- fixed values: labiovelars of the fallback ------------------------------------------------
+LABIOVELARS_FALLBACK = {
+    "ቈ": "qʷə", "ቊ": "qʷu", "ቋ": "qʷa", "ቌ": "qʷe", "ቍ": "qʷɨ",
+    "ኰ": "kʷə", "ኲ": "kʷu", "ኳ": "kʷa", "ኴ": "kʷe", "ኵ": "kʷɨ",
+    "ዀ": "xʷə", "ዂ": "xʷu", "ዃ": "xʷa", "ዄ": "xʷe", "ዅ": "xʷɨ",
+    "ጐ": "gʷə", "ጒ": "gʷu", "ጓ": "gʷa", "ጔ": "gʷe", "ጕ": "gʷɨ",
+}
 
-# --- the older, smaller profile -----------------------------------------------------------------
-#: Its labiovelars stand apart; the last row is that of another letter.
-BASIC_LABIOVELARS = {"ቈ": "qʷ", "ኰ": "kʷ", "ጐ": "gʷ", "ኸ": "xʷ"}
+# --- fixed values: the older, smaller profile -------------------------------------------------
 BASIC_VARIANTS = (("ሥ", "ስ"), ("ዕ", "እ"), ("ፅ", "ጽ"), ("ኅ", "ህ"), ("ኽ", "ክ"), ("ሕ", "ህ"), ("ዐ", "አ"), ("ኣ", "አ"))
 BASIC_WORDS = {"ሰላም": "səlam"}
-#: Bare consonants, then rows of which it knows every vowel, then letters read with ə.
-BASIC_BARE = {"ህ": "h", "ሐ": "h", "ሠ": "s", "ኀ": "h"}
-BASIC_ROWS = "ሀለመረሰሸበተነከወዘየደገፈ"
-BASIC_FIRST = "ለመረሰሸቀበተቸነኘአከኸወዐዘዠየደጀገጠጨጰጸፀፈፐ"
-BASIC_SIXTH = "ልምርስሽቅብትችንኝእክውዕዝዥይድጅግጥጭጵጽፍፕ"
-
-
-def basic_phonemes() -> dict[str, str]:
-    out = dict(BASIC_BARE)
-    out |= {c: CONSONANTS[c] + "ə" for c in BASIC_FIRST}
-    out |= {c: CONSONANTS[chr(ord(c) - 5)] + "ə" for c in BASIC_SIXTH}
-    return out | {chr(ord(c) + i): CONSONANTS[c] + VOWELS[i] for c in BASIC_ROWS for i in (1, 2, 3, 4, 6)}
-
-
-def basic_labiovelars() -> dict[str, str]:
-    """Forms 3, 5, 2, 4 and 0 of a row; the last row is a plain one, of orders 3, 5, 2, 4 and 0."""
-    forms = ((3, "a"), (5, "ɨ"), (2, "u"), (4, "e"), (0, "i"))
-    return {chr(ord(c) + i): p + v for c, p in BASIC_LABIOVELARS.items() for i, v in forms}
-
+BASIC_PHONEMES = {
+    "ሁ": "hu", "ሂ": "hi", "ሃ": "ha", "ሄ": "he", "ህ": "h", "ሆ": "ho",
+    "ለ": "lə", "ሉ": "lu", "ሊ": "li", "ላ": "la", "ሌ": "le", "ል": "lə", "ሎ": "lo", "ሐ": "h",
+    "መ": "mə", "ሙ": "mu", "ሚ": "mi", "ማ": "ma", "ሜ": "me", "ም": "mə", "ሞ": "mo", "ሠ": "s",
+    "ረ": "rə", "ሩ": "ru", "ሪ": "ri", "ራ": "ra", "ሬ": "re", "ር": "rə", "ሮ": "ro",
+    "ሰ": "sə", "ሱ": "su", "ሲ": "si", "ሳ": "sa", "ሴ": "se", "ስ": "sə", "ሶ": "so",
+    "ሸ": "ʃə", "ሹ": "ʃu", "ሺ": "ʃi", "ሻ": "ʃa", "ሼ": "ʃe", "ሽ": "ʃə", "ሾ": "ʃo", "ቀ": "qə", "ቅ": "qə",
+    "በ": "bə", "ቡ": "bu", "ቢ": "bi", "ባ": "ba", "ቤ": "be", "ብ": "bə", "ቦ": "bo",
+    "ተ": "tə", "ቱ": "tu", "ቲ": "ti", "ታ": "ta", "ቴ": "te", "ት": "tə", "ቶ": "to", "ቸ": "tʃə", "ች": "tʃə", "ኀ": "h",
+    "ነ": "nə", "ኑ": "nu", "ኒ": "ni", "ና": "na", "ኔ": "ne", "ን": "nə", "ኖ": "no", "ኘ": "ɲə", "ኝ": "ɲə",
+    "አ": "ʔə", "እ": "ʔə", "ከ": "kə", "ኩ": "ku", "ኪ": "ki", "ካ": "ka", "ኬ": "ke", "ክ": "kə", "ኮ": "ko", "ኸ": "xə",
+    "ወ": "wə", "ዉ": "wu", "ዊ": "wi", "ዋ": "wa", "ዌ": "we", "ው": "wə", "ዎ": "wo", "ዐ": "ʕə", "ዕ": "ʕə",
+    "ዘ": "zə", "ዙ": "zu", "ዚ": "zi", "ዛ": "za", "ዜ": "ze", "ዝ": "zə", "ዞ": "zo", "ዠ": "ʒə", "ዥ": "ʒə",
+    "የ": "jə", "ዩ": "ju", "ዪ": "ji", "ያ": "ja", "ዬ": "je", "ይ": "jə", "ዮ": "jo",
+    "ደ": "də", "ዱ": "du", "ዲ": "di", "ዳ": "da", "ዴ": "de", "ድ": "də", "ዶ": "do", "ጀ": "dʒə", "ጅ": "dʒə",
+    "ገ": "gə", "ጉ": "gu", "ጊ": "gi", "ጋ": "ga", "ጌ": "ge", "ግ": "gə", "ጎ": "go", "ጠ": "tʼə", "ጥ": "tʼə",
+    "ጨ": "tʃʼə", "ጭ": "tʃʼə", "ጰ": "pʼə", "ጵ": "pʼə", "ጸ": "sʼə", "ጽ": "sʼə", "ፀ": "sʼə",
+    "ፈ": "fə", "ፉ": "fu", "ፊ": "fi", "ፋ": "fa", "ፌ": "fe", "ፍ": "fə", "ፎ": "fo", "ፐ": "pə", "ፕ": "pə",
+}
+#: Its labiovelars stand apart; the row of ኸ is a plain one.
+BASIC_LABIOVELARS = {
+    "ቈ": "qʷi", "ቊ": "qʷu", "ቋ": "qʷa", "ቌ": "qʷe", "ቍ": "qʷɨ",
+    "ኰ": "kʷi", "ኲ": "kʷu", "ኳ": "kʷa", "ኴ": "kʷe", "ኵ": "kʷɨ",
+    "ኸ": "xʷi", "ኺ": "xʷu", "ኻ": "xʷa", "ኼ": "xʷe", "ኽ": "xʷɨ",
+    "ጐ": "gʷi", "ጒ": "gʷu", "ጓ": "gʷa", "ጔ": "gʷe", "ጕ": "gʷɨ",
+}
 
 # --- fixed values: phonological patterns ------------------------------------------------------
 EPENTHESIS = (

@@ -135,14 +135,16 @@ def renamed(df: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def merge_by_content(base: DataFrame, new: DataFrame, hash_col: str, order: str) -> DataFrame:
-    """new with a status: added, duplicate (in base or earlier in new), or error (no hash)."""
+    """new with a status: added, duplicate (in base or earlier in new), or error (no hash).
+
+    order tells rows apart; rows equal in hash and order are first together. The first row of a hash is
+    aggregated before any shuffle and joined back, so a very common hash is split like any skewed key.
+    """
     known = base.select(hash_col).filter(F.col(hash_col).isNotNull()).distinct().withColumn("__known", F.lit(True))
-    first = F.row_number().over(W.partitionBy(hash_col).orderBy(order)) == 1
-    hashed = new.filter(F.col(hash_col).isNotNull()).join(known, hash_col, "left")
-    status = F.when(F.col("__known"), "duplicate").when(first, "added").otherwise("duplicate")
-    done = hashed.withColumn("status", status).drop("__known")
-    bad = new.filter(F.col(hash_col).isNull()).withColumn("status", F.lit("error"))
-    return done.unionByName(bad)
+    firsts = new.filter(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(order).alias("__first"))
+    firsts = firsts.join(known, hash_col, "left").select(hash_col, F.when(F.col("__known").isNull(), F.col("__first")).alias("__first"))
+    status = F.when(F.col(hash_col).isNull(), "error").when(F.col("__first") == F.col(order), "added").otherwise("duplicate")
+    return new.join(firsts, hash_col, "left").withColumn("status", status).select(*new.columns, "status")
 
 
 def processed_files(queue: DataFrame, history: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Interval algebra on time segments: source_id, idx, start, end (seconds), text or confidence.
 
-Operators whose state depends on all that came before are folds over sorted arrays. A fold never
-needs more than a stretch without a long pause, so sources are first cut at pauses that no rule can
-bridge; a hot source becomes many small arrays.
+Operators whose state depends on all that came before are folds over blocks of rows (folds.py), so one
+source may fill any number of tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators import folds
+
 
 def _by_source(order: str = "idx"):
     return W.partitionBy("source_id").orderBy(order)
@@ -21,23 +22,7 @@ def valid(df: DataFrame) -> DataFrame:
     return df.filter((F.col("end") > F.col("start")) & (F.trim("text") != ""))
 
 
-def stretches(df: DataFrame, pause: float) -> DataFrame:
-    """df with stretch, counted up where the pause before a segment exceeds ``pause``."""
-    gap = F.col("start") - F.lag("end").over(_by_source())
-    new = F.when(gap > pause, 1).otherwise(0)
-    return df.withColumn("stretch", F.sum(new).over(_by_source()))
-
-
-def _fold(df: DataFrame, fields: list[Column], step, emit: str) -> DataFrame:
-    """Per source and stretch: rows in order, folded by step(state, row) with a list of closed rows."""
-    rows = df.groupBy("source_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("idx", *fields))).alias("rows"))
-    head, tail = F.element_at("rows", 1), F.slice("rows", 2, F.size("rows"))
-    state = F.struct(F.slice("rows", 1, 0).alias("done"), head.alias("now"))
-    out = F.aggregate(tail, state, step, lambda s: F.concat(s["done"], F.array(s["now"])))
-    return rows.select("source_id", F.explode(out).alias(emit)).select("source_id", f"{emit}.*")
-
-
-def merge_short_cues(df: DataFrame, least: float = 1.0, most: float = 20.0, max_gap: float = 1.5) -> DataFrame:
+def merge_short_cues(df: DataFrame, least: float = 1.0, most: float = 20.0, max_gap: float = 1.5, block: int = folds.BLOCK) -> DataFrame:
     """Cues merged with their followers by four rules, the first that applies to the pair deciding:
 
     1. the current cue is shorter than ``least``: gaps up to max_gap, twice that under one second;
@@ -46,66 +31,22 @@ def merge_short_cues(df: DataFrame, least: float = 1.0, most: float = 20.0, max_
     4. gaps under half a second;
     and never beyond ``most`` seconds in all. Texts are joined by a space. idx is the first cue's.
     """
+    return folds.folded(df, "source_id", "idx", ["start", "end", "text"], folds.Cues(least, most, max_gap), block)
 
-    def step(s: Column, x: Column) -> Column:
-        now = s["now"]
-        own, nxt, gap = now["end"] - now["start"], x["end"] - x["start"], x["start"] - now["end"]
-        rule = (
-            F.when(own < least, gap <= F.when(own < 1.0, max_gap * 2).otherwise(max_gap))
-            .when(nxt < least, gap <= max_gap)
-            .when((own < 2.0) & (nxt < 2.0), gap <= max_gap * 1.5)
-            .otherwise(gap < 0.5)
-        )
-        join = rule & (x["end"] - now["start"] <= most)
-        longer = F.struct(
-            now["idx"].alias("idx"), now["start"].alias("start"), x["end"].alias("end"), F.concat_ws(" ", now["text"], x["text"]).alias("text")
-        )
-        return F.struct(
-            F.when(join, s["done"]).otherwise(F.concat(s["done"], F.array(now))).alias("done"), F.when(join, longer).otherwise(x).alias("now")
-        )
-
-    # no rule bridges more than the largest of these
-    cut = stretches(df, max(max_gap * 2, max_gap * 1.5, 0.5))
-    return _fold(cut, [F.col("start"), F.col("end"), F.col("text")], step, "cue")
-
-
-def merge_short_speech(df: DataFrame, least: float = 0.5, max_gap: float = 0.5) -> DataFrame:
-    """Segments extended over gaps up to max_gap, or while shorter than ``least``; the confidence is
-    averaged pairwise; results shorter than ``least`` go.
 
-    A short segment reaches over any pause, so the fold runs over whole sources.
+def merge_short_speech(df: DataFrame, least: float = 0.5, max_gap: float = 0.5, block: int = folds.BLOCK) -> DataFrame:
+    """Segments extended over gaps up to max_gap, or while shorter than ``least``; the confidence is
+    averaged pairwise; results shorter than ``least`` go. A short segment reaches over any pause.
     """
-
-    def step(s: Column, x: Column) -> Column:
-        now = s["now"]
-        own = now["end"] - now["start"]
-        join = (x["start"] - now["end"] <= max_gap) | (own < least)
-        longer = F.struct(
-            now["idx"].alias("idx"), now["start"].alias("start"), x["end"].alias("end"), ((now["confidence"] + x["confidence"]) / 2).alias("confidence")
-        )
-        return F.struct(
-            F.when(join, s["done"]).otherwise(F.concat(s["done"], F.array(now))).alias("done"), F.when(join, longer).otherwise(x).alias("now")
-        )
-
-    out = _fold(df.withColumn("stretch", F.lit(0)), [F.col("start"), F.col("end"), F.col("confidence")], step, "seg")
+    out = folds.folded(df, "source_id", "idx", ["start", "end", "confidence"], folds.Speech(least, max_gap), block)
     return out.filter(F.col("end") - F.col("start") >= least)
 
 
-def merge_close(df: DataFrame, max_gap: float = 0.5) -> DataFrame:
+def merge_close(df: DataFrame, max_gap: float = 0.5, block: int = folds.BLOCK) -> DataFrame:
     """Runs of segments with gaps up to max_gap: first start, last end, pairwise averaged confidence,
-    least snr, padding only if all have it. Windows find the runs; a fold averages inside each."""
-    runs = stretches(df, max_gap)
-    rows = runs.groupBy("source_id", "stretch").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "confidence"))).alias("rows"),
-        F.min("idx").alias("idx"),
-        F.min_by("start", "idx").alias("start"),
-        F.max_by("end", "idx").alias("end"),
-        F.min("snr").alias("snr"),
-        F.bool_and("padded").alias("padded"),
-        F.count("*").alias("n"),
-    )
-    mean = F.aggregate(F.slice("rows", 2, F.size("rows")), F.element_at("rows", 1)["confidence"], lambda a, x: (a + x["confidence"]) / 2)
-    return rows.select("source_id", "idx", "start", "end", mean.alias("confidence"), "snr", "padded", "n")
+    least snr, padding only if all have it."""
+    snr = F.col("snr").cast("double")
+    return folds.folded(df, "source_id", "idx", ["start", "end", "confidence", snr, "padded"], folds.Close(max_gap), block)
 
 
 def expand_short(df: DataFrame, least: float, audio_len: Column | float, guard: float = 0.02) -> DataFrame:
@@ -149,22 +90,46 @@ def edge_buffer(df: DataFrame, buffer: float, audio_len: float, extra: float = 0
     )
 
 
-def overlapping(a: DataFrame, b: DataFrame, width: float = 30.0) -> DataFrame:
-    """Pairs of a and b of the same source that overlap: the intervals are dealt to time buckets, so
-    the join is an equi-join; a pair counts in the bucket where its overlap starts.
+def overlapping(a: DataFrame, b: DataFrame, width: float = 1.0) -> DataFrame:
+    """Pairs of a and b of the same source that overlap; b's columns are prefixed with b_.
 
-    b's columns are prefixed with b_.
+    Time is cut into nested buckets, of ``width`` seconds and every power of two of it. An interval lies
+    in the one or two buckets of its own size, and looks up the larger ones around them, of the sizes that
+    occur on the other side: some rows a size, however long the longest interval is. The join is an
+    equi-join on bucket and size; a pair counts in the bucket, of the longer one's size, where its
+    overlap starts. An interval without a bound overlaps nothing.
     """
-    def dealt(df: DataFrame, s: str, e: str) -> DataFrame:
-        return df.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
+
+    def sized(df: DataFrame, s: str, e: str) -> DataFrame:
+        whole = df.filter(F.col(s).isNotNull() & F.col(e).isNotNull())
+        halvings = F.ceil(F.log2(F.greatest(F.abs(F.col(e) - F.col(s)) / width, F.lit(1.0))))
+        return whole.withColumn("__size", F.least(halvings, F.lit(60)).cast("int"))
+
+    def buckets(s: str, e: str, size: Column, role: int) -> Column:
+        each = F.lit(width) * F.pow(F.lit(2.0), size)
+        first, last = F.floor(F.col(s) / each), F.floor(F.col(e) / each)
+        return F.transform(F.sequence(first, last), lambda n: F.struct(F.lit(role).alias("role"), size.alias("size"), n.alias("n")))
+
+    def dealt(df: DataFrame, s: str, e: str, others: DataFrame, own_role: int, others_role: int, same: bool) -> DataFrame:
+        """own_role: in the buckets of its own size; others_role: in those of the larger ones (and the same) of the others."""
+        df = df.withColumn("__sizes", others.agg(F.collect_set("__size")).scalar())
+        own, sizes = F.col("__size"), F.col("__sizes")
+        up = F.flatten(F.transform(F.filter(sizes, lambda x: (x >= own) if same else (x > own)), lambda x: buckets(s, e, x, others_role)))
+        at_home = F.exists(sizes, lambda x: (x < own) if same else (x <= own))
+        home = F.when(at_home, buckets(s, e, own, own_role)).otherwise(F.slice(buckets(s, e, own, own_role), 1, 0))
+        return df.withColumn("__at", F.explode(F.concat(home, up))).select("*", *(F.col(f"__at.{x}").alias(f"__{x}") for x in ("role", "n")), F.col("__at.size").alias("__of")).drop("__at", "__size", "__sizes")
 
     other = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    left, right = dealt(a, "start", "end"), dealt(other, "b_start", "b_end").withColumnRenamed("__bucket", "__b_bucket")
-    both = left.join(
-        right, (F.col("source_id") == F.col("b_source_id")) & (F.col("__bucket") == F.col("__b_bucket"))
-    ).filter((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")))
-    first = F.floor(F.greatest("start", "b_start") / width)
-    return both.filter(F.col("__bucket") == first).drop("__bucket", "__b_bucket")
+    left, right = sized(a, "start", "end"), sized(other, "b_start", "b_end")
+    # role 1: b's interval is the shorter one, looking up; role 2: a's is, or they are alike
+    mine = dealt(left, "start", "end", right, 1, 2, True)
+    theirs = dealt(right, "b_start", "b_end", left, 2, 1, False)
+    theirs = theirs.withColumnsRenamed({x: f"__b{x}" for x in ("__role", "__of", "__n")})
+    same = [F.col(x) == F.col(f"__b{x}") for x in ("__role", "__of", "__n")]
+    both = mine.join(theirs, [F.col("source_id") == F.col("b_source_id"), *same])
+    first = F.floor(F.greatest("start", "b_start") / (F.lit(width) * F.pow(F.lit(2.0), F.col("__of"))))
+    hit = (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")) & (F.col("__n") == first)
+    return both.filter(hit).drop("__role", "__of", "__n", *(f"__b{x}" for x in ("__role", "__of", "__n")))
 
 
 def overlap(a_start="start", a_end="end", b_start="b_start", b_end="b_end") -> Column:
@@ -186,7 +151,7 @@ def best_overlap(cues: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def contained(words: DataFrame, segments: DataFrame, width: float = 30.0) -> DataFrame:
+def contained(words: DataFrame, segments: DataFrame, width: float = 1.0) -> DataFrame:
     """(source_id, idx of the segment, word's columns b_*) for words inside segments."""
     return overlapping(segments, words, width).filter((F.col("b_start") >= F.col("start")) & (F.col("b_end") <= F.col("end")))
 

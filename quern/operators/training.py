@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators import folds
+
 NUMBER = r"([\d.]+)"
 
 
@@ -83,36 +85,18 @@ def divergence(df: DataFrame, gap: float = 3.0) -> DataFrame:
     return df.withColumn("diverging", F.coalesce(down & up, F.lit(False))).withColumn("wide_gap", (t > 0) & (v / t > gap))
 
 
-def early_stop(df: DataFrame, patience: int, least_delta: float, baseline: bool) -> DataFrame:
+def early_stop(df: DataFrame, patience: int, least_delta: float, baseline: bool, block: int = folds.BLOCK) -> DataFrame:
     """run, best, best_epoch, stop_epoch (null if it never stops): a fold over the run's epochs.
 
     A loss counts as better only if it beats the best by more than least_delta; with baseline the first
     loss is the best from the start. The fold goes on after the stop without changing anything.
     """
-    rows = df.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", F.col("val_loss").alias("loss")))).alias("rows"))
-    none = F.lit(None).cast("int")
-    start = F.struct(F.lit(None if baseline else float("inf")).cast("double").alias("best"), none.alias("best_epoch"), F.lit(0).alias("bad"), none.alias("stop"))
-
-    def step(s: Column, x: Column) -> Column:
-        better = s["best"].isNull() | (x["loss"] < s["best"] - least_delta)
-        bad = F.when(better, 0).otherwise(s["bad"] + 1)
-        done = s["stop"].isNotNull()
-        return F.struct(
-            F.when(~done & better, x["loss"]).otherwise(s["best"]).alias("best"),
-            F.when(~done & better, x["epoch"]).otherwise(s["best_epoch"]).alias("best_epoch"),
-            F.when(done, s["bad"]).otherwise(bad).alias("bad"),
-            F.when(done, s["stop"]).when(bad >= patience, x["epoch"]).alias("stop"),
-        )
-
-    out = F.aggregate("rows", start, step)
-    return rows.select("run", out.alias("s")).select("run", "s.best", "s.best_epoch", F.col("s.stop").alias("stop_epoch"))
-
-
-def ema(df: DataFrame, decay: float) -> DataFrame:
+    return folds.folded(df, "run", "epoch", ["val_loss"], folds.Stopping(patience, least_delta, baseline), block)
+
+
+def ema(df: DataFrame, decay: float, block: int = folds.BLOCK) -> DataFrame:
     """run and the exponential moving average of its losses in order, starting at the first."""
-    rows = df.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", F.col("val_loss").alias("loss")))).alias("rows"))
-    shadow = F.aggregate(F.slice("rows", 2, F.size("rows")), F.element_at("rows", 1)["loss"], lambda s, x: (1 - decay) * x["loss"] + decay * s)
-    return rows.select("run", shadow.alias("ema"))
+    return folds.folded(df, "run", "epoch", ["val_loss"], folds.Average(decay), block)
 
 
 def warmup_rate(step: Column, warmup: int, base: float) -> Column:

@@ -32,7 +32,7 @@ def f43(spark, sf):
     return q_text._sym(spark, sf).select("p_partkey", g2p.hybrid_text(F.col("s")).alias("text"))
 
 
-@query("f61_labiovelars", f"WITH {v.FIDEL_SQL}, f AS (SELECT doc_id, translate(text, 'ቀከገ', 'ቍኳዃ') AS s FROM fidel) SELECT doc_id, {q_text._replaces('s', t.labiovelars_fallback().items())} AS ipa FROM f")
+@query("f61_labiovelars", f"WITH {v.FIDEL_SQL}, f AS (SELECT doc_id, translate(text, 'ቀከገ', 'ቍኳዃ') AS s FROM fidel) SELECT doc_id, {q_text._replaces('s', t.LABIOVELARS_FALLBACK.items())} AS ipa FROM f")
 def f61(spark, sf):
     s = F.translate("text", "ቀከገ", "ቍኳዃ")
     return v.fidel(spark, sf).select("doc_id", g2p.labiovelars(s).alias("ipa"))
