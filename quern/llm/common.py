@@ -36,18 +36,9 @@ def resident(key, make: Callable[[], object]):
     return _resident[key]
 
 
-def short_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """df, whose session from now on sends Python at most ``rows`` rows at once: whole texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if not 0 < now <= rows:
-        df.sparkSession.conf.set(name, str(rows))
-    return df
-
-
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, null texts as empty ones: other columns cannot clash or cost."""
-    return short_batches(docs).select(
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
 
@@ -81,7 +72,7 @@ def per_batch(
                     [pa.array(out[x.name], type=x.type) for x in target], schema=target
                 )
 
-    return short_batches(docs).mapInArrow(run, kind)
+    return docs.mapInArrow(run, kind)
 
 
 def passing(docs: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
@@ -93,7 +84,7 @@ def passing(docs: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], np.n
             f = f or start()
             yield batch.filter(pa.array(np.asarray(f(batch), dtype=bool)))
 
-    return short_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def texts(batch: pa.RecordBatch) -> list[str]:

@@ -3,7 +3,7 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
 and Beyond", 2014): each step only needs a minimum per node, which is pre-aggregated, and a join
 that adaptive execution may split, so a hub with many links never gathers in one task. Lineage is
-cut with checkpoints in the shared folder.
+cut with tables in the shared folder; each step's replaces the one before.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import shared_dir, shuffles_freed
+from quern.session import discarded, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,9 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-links, repeated links and nulls are ignored; an empty table gives an empty result.
     """
-    shared_dir(edges.sparkSession)
-    with shuffles_freed(edges.sparkSession):
-        e = _stars(edges)
+    e = _stars(edges)
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
@@ -32,8 +30,8 @@ def _stars(edges: DataFrame) -> DataFrame:
         edges.filter("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
-        .checkpoint()
     )
+    e = stored(e, "links")
     while not _is_stars(e):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -47,7 +45,9 @@ def _stars(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
             low.select("u", F.col("m").alias("v"))
         )
-        e = small.filter("u <> v").distinct().checkpoint()
+        shorter = stored(small.filter("u <> v").distinct(), "links")
+        discarded(e)
+        e = shorter
     return e
 
 

@@ -1,11 +1,16 @@
 """Near copies of similarity 0.8 by SimHash fingerprints, compared bit-sliced, with exact counts deciding.
 
 A text's set is the distinct XXH64 of its runs of five words. Two sets of similarity 0.8 differ in
-about ten of the 64 bits of their SimHash fingerprints, in more than 21 once in ten thousand times, and
-blocks of bits can't be the buckets of so wide a radius. So buckets are 24 bands of five MinHash
-minima: two such sets share one with probability 1 - (1 - 0.8^5)^24 = 0.99993. In a bucket,
-fingerprints are compared as bit planes by carry-save counters; pairs within the radius are candidates,
-and a candidate is a link if the whole sets, counted with integers, are of similarity 0.8 or more.
+about ten of the 64 bits of their SimHash fingerprints, and blocks of bits can't be the buckets of so
+wide a radius. So buckets are 24 bands of five MinHash minima: two such sets share one with probability
+1 - (1 - 0.8^5)^24 = 0.99993. In a bucket, fingerprints are compared as bit planes by carry-save
+counters; pairs within the radius are candidates, and a candidate is a link if the whole sets, counted
+with integers, are of similarity 0.8 or more.
+
+The fewer shingles, the more a fingerprint's distance varies. Sets of under 20 shingles therefore have
+exact buckets too, where no distance rules a pair out: of s sorted hashes the first s - ceil(0.8 s) + 1,
+one of which any set of similarity 0.8 has among its own first ones. A set under 16 has no such partner
+of 20, so its links are all found. A larger pair at 0.8 is lost about once in ten thousand times.
 
 Equal sets are one node. Candidates are checked in rounds: first each node's closest one in a bucket,
 then its closest one outside its class so far, at last every candidate whose ends are in different
@@ -38,7 +43,7 @@ from quern.llm.common import id_and_text, per_batch, texts
 from quern.llm.components import components
 from quern.session import stored
 
-WIDTH, BANDS, ROWS, RADIUS = 5, 24, 5, 21
+WIDTH, BANDS, ROWS, RADIUS, SMALL = 5, 24, 5, 21, 20
 #: How many closest candidates of a node a round checks; the last round checks all that are left.
 ROUNDS = (1, 1, None)
 _RNG = np.random.default_rng(8)
@@ -56,7 +61,7 @@ def node_of(own: np.ndarray) -> int:
 
 
 def buckets(own: np.ndarray, block: int = 1024) -> np.ndarray:
-    """One 64-bit bucket a band; sets under four shingles are similar to none but their equals."""
+    """One 64-bit bucket a band, then a small set's exact ones; sets under four shingles are similar to none but their equals."""
     if len(own) < 4:
         return np.zeros(0, np.int64)
     low = np.full(len(_BY_ROW), np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -65,7 +70,8 @@ def buckets(own: np.ndarray, block: int = 1024) -> np.ndarray:
     low = low.reshape(BANDS, ROWS)
     low = (low ^ (low >> np.uint64(31))) * _BY_BAND
     low = (low ^ (low >> np.uint64(29))).sum(axis=1, dtype=np.uint64)
-    return low.view(np.int64)
+    exact = own[: len(own) + 1 - -(-len(own) * 4 // 5)] if len(own) < SMALL else own[:0]
+    return np.concatenate((low, exact)).view(np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -169,17 +175,19 @@ def _candidates(most: int | None, percent: int, small: int = 48):
             starts = np.flatnonzero(np.diff(group, prepend=-1))
             ends = np.append(starts[1:], len(group))
             lone = tile_a == tile_b
+            exact = rows.column("mask").to_numpy() == BANDS
             few = np.repeat(ends - starts <= small, ends - starts) & lone
-            if few.any():
-                at = np.flatnonzero(few)
-                a, b = simhash.links_in_sorted_runs(fps[at], group[at], RADIUS)
-                yield chosen(at[a], at[b], True)
+            for radius, which in ((RADIUS, few & ~exact), (64, few & exact)):
+                if which.any():
+                    at = np.flatnonzero(which)
+                    a, b = simhash.links_in_sorted_runs(fps[at], group[at], radius)
+                    yield chosen(at[a], at[b], True)
             for s, e in zip(starts[~few[starts]].tolist(), ends[~few[starts]].tolist(), strict=True):
                 cut = s if lone[s] else s + int(np.searchsorted(part[s:e], 1))
                 stop = e if lone[s] else cut
                 held = Postings(rows.column("sketch").slice(s, e - s).combine_chunks()) if most is None else None
                 for i in range(s, stop, 128):  # every row of a tile, or of the pair's first tile, is a query
-                    q, m = simhash.links_across(fps[i : min(i + 128, stop)], fps[cut:e], RADIUS)
+                    q, m = simhash.links_across(fps[i : min(i + 128, stop)], fps[cut:e], 64 if exact[s] else RADIUS)
                     q, m = q + i, m + cut
                     if held is not None:
                         q, m = _sifted(held, q, m, klass, s, percent)
@@ -219,6 +227,7 @@ def near_copies(docs: DataFrame, percent: int = 80, tile: int = 2048) -> DataFra
     each = [F.any_value(c).alias(c) for c in ("fp", "size", "buckets")]
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *each), "near-nodes")
     placed = nodes.select("node", "fp", "size", F.posexplode("buckets").alias("mask", "bucket"))
+    placed = placed.withColumn("mask", F.least("mask", F.lit(BANDS)))  # exact buckets have no place in the set
     shared = placed.groupBy("mask", "bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     members = stored(placed.join(shared, ["mask", "bucket"]), "near-members")
     sets = stored(_sets(docs, members.select("node").distinct().join(nodes, "node").select("node", "least")), "near-sets")

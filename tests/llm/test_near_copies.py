@@ -54,3 +54,36 @@ def test_lightly_edited_copies(spark):
 
 def test_no_rows(spark, empty):
     assert near_copies.drop_near_copies(empty).count() == 0
+
+
+def test_no_short_pair_is_lost(spark):
+    """10,000 pairs of four and five shingles and 3000 of 12 and 15, all of similarity 0.8 exactly."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(13000):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(9 if k < 10000 else 19)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8] if k < 10000 else words[:16]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(26000)}
+
+
+def test_many_short_near_copies_of_one_text(spark):
+    """One exact bucket of thousands: all are linked through the text they vary."""
+    rng = random.Random(7)
+    head = [f"w{i}" for i in range(16)]
+    rows = [(0, " ".join(head))] + [(i, " ".join([*head, *(f"x{rng.randrange(10**9)}" for _ in range(1 + i % 3))])) for i in range(1, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert {r.component_id for r in near_copies.near_copies(docs, tile=512).collect()} == {0}
+
+
+def test_settings_of_the_session_stay(spark):
+    from quern.llm import line_dedup, quality, token_count, toxicity
+
+    before = dict(spark.sparkContext.getConf().getAll()) | {r.key: r.value for r in spark.sql("SET").collect()}
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "s", 0, 0.5, "a", "b") for i in range(40)], DOCS)
+    for f in (line_dedup.line_report, token_count.token_counts, quality.quality_report, near_copies.drop_near_copies):
+        f(docs).count()
+    toxicity.toxicity(docs, toxicity.seed_lexicon()).count()
+    after = dict(spark.sparkContext.getConf().getAll()) | {r.key: r.value for r in spark.sql("SET").collect()}
+    assert after == before
