@@ -306,10 +306,10 @@ def x01(spark, sf):
     return incremental.unseen_sources(d.select("source").distinct(), d.filter("doc_id % 50 = 0"))
 
 
-@query("x02_stream_dedup", "SELECT DISTINCT sha256(text) AS h FROM documents WHERE text <> ''")
+@query("x02_stream_dedup", "SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents WHERE text <> '' GROUP BY 1")
 def x02(spark, sf):
-    s = _stream(spark, sf, "documents").select(F.when(F.col("text") != "", F.sha2("text", 256)).alias("h"))
-    return incremental.drained(incremental.new_content(s, "h"), "x02")
+    s = _stream(spark, sf, "documents").select(F.when(F.col("text") != "", F.sha2("text", 256)).alias("h"), "doc_id")
+    return incremental.ContentMerge(_folder(spark, "x02"), "h", "doc_id").run(s)
 
 
 @query("x03_session_runs", """WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -321,6 +321,19 @@ def x03(spark, sf):
     return incremental.drained(out, "x03", "complete")
 
 
+@query("x03_speech_runs", f"""WITH {v.CUES_SQL}, t AS (SELECT source_id, CAST(round("start" * 1000000) AS BIGINT) AS a, CAST(round("start" * 1000000) AS BIGINT) + CAST(round(greatest("end" - "start", 0) * 1000000) AS BIGINT) AS b FROM cues),
+m AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY source_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 500000 THEN 0 ELSE 1 END AS new FROM t),
+r AS (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT source_id, min(a) AS start_us, max(b) AS end_us, count(*) AS n FROM r GROUP BY source_id, run""")
+def x03b(spark, sf):
+    path = _folder(spark, "x03")
+    ts = F.timestamp_micros(F.round(F.col("start") * 1_000_000).cast("long"))
+    v.cues(spark, sf).select("source_id", ts.alias("ts"), (F.col("end") - F.col("start")).alias("duration")).write.parquet(path)
+    s = spark.readStream.schema("source_id bigint, ts timestamp, duration double").parquet(path)
+    out = incremental.drained(incremental.speech_runs(s, 0.5, "1 minute", "source_id"), "x03b", "complete")
+    return out.select("source_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 @query("x04_stream_early_stop", """WITH RECURSIVE steps AS (SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS epoch, value / 100 AS loss FROM events),
 f AS (SELECT run, epoch, loss AS best, 0 AS bad, false AS stopped FROM steps WHERE epoch = 1 UNION ALL
   SELECT n.run, n.epoch, CASE WHEN NOT f.stopped AND n.loss < f.best - 0.001::DOUBLE THEN n.loss ELSE f.best END, CASE WHEN f.stopped THEN f.bad WHEN n.loss < f.best - 0.001::DOUBLE THEN 0 ELSE f.bad + 1 END,
