@@ -41,24 +41,18 @@ def rms_frames(x: Column, frame: int, hop: int) -> Column:
 
 def threshold_runs(values: Column, limit: Column) -> Column:
     """array<struct<start,end,open>> of runs of values over the limit; end is exclusive, open if the run
-    reaches the array's end."""
-    none = F.array().cast("array<struct<start:int,end:int,open:boolean>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc["runs"], -1)
-        going = (F.size(acc["runs"]) > 0) & last["open"]
-        over = x > limit
-        head = F.slice(acc["runs"], 1, F.size(acc["runs"]) - 1)
-        closed = F.struct(last["start"].alias("start"), acc["i"].alias("end"), F.lit(False).alias("open"))
-        opened = F.struct(acc["i"].alias("start"), acc["i"].alias("end"), F.lit(True).alias("open"))
-        runs = (
-            F.when(over & ~going, F.concat(acc["runs"], F.array(opened)))
-            .when(~over & going, F.concat(head, F.array(closed)))
-            .otherwise(acc["runs"])
-        )
-        return F.struct((acc["i"] + 1).alias("i"), runs.alias("runs"))
+    reaches the array's end. Their starts and ends are filtered from the places, each in one pass."""
+
+    def found(v: Column) -> Column:
+        n = F.size(v)
+        places = F.sequence(F.lit(0), n - 1)
+        over = lambda i: F.coalesce(F.get(v, i) > limit, F.lit(False))
+        starts = F.filter(places, lambda i: over(i) & ((i == 0) | ~over(i - 1)))
+        ends = F.filter(places, lambda i: over(i) & ((i == n - 1) | ~over(i + 1)))
+        each = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end"), (b == n - 1).alias("open")))
+        return F.when(n > 0, each).otherwise(F.array().cast("array<struct<start:int,end:int,open:boolean>>"))
 
-    return F.aggregate(values, F.struct(F.lit(0).alias("i"), none.alias("runs")), step, lambda a: a["runs"])
+    return let(values, found)
 
 
 def energy_segments(x: Column, rate: int, least_ms: float = 250) -> Column:
@@ -153,6 +147,14 @@ def to_mono(channels: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(F.get(channels, F.lit(0))) - 1), lambda i: F.aggregate(channels, F.lit(0.0), lambda a, c: a + F.get(c, i)) / n)
 
 
+def framed_rms(y: np.ndarray, window: int, hop: int) -> np.ndarray:
+    """Root mean squares of the windows at every hop-th sample, each summed by itself."""
+    if len(y) < window:
+        y = np.concatenate((y, np.zeros(window - len(y), y.dtype)))
+    each = np.lib.stride_tricks.sliding_window_view(y, window)[::hop]
+    return np.sqrt(np.array([np.dot(x, x) for x in each.astype(np.float64)]) / window)
+
+
 class SilencePlan:
     """Where to cut a waveform at silence; all lengths in frames of ``hop`` samples."""
 
@@ -170,11 +172,8 @@ class SilencePlan:
         self.kept = round(rate * kept_ms / 1000 / self.hop)
 
     def rms(self, y: np.ndarray) -> np.ndarray:
-        half = self.window // 2
-        padded = np.concatenate((np.zeros(half), y.astype(np.float64), np.zeros(half)))
-        squares = np.concatenate(([0.0], np.cumsum(padded**2)))
-        at = np.arange(0, len(padded) - self.window + 1, self.hop)
-        return np.sqrt(np.maximum(squares[at + self.window] - squares[at], 0) / self.window)
+        half = np.zeros(self.window // 2, y.dtype)
+        return framed_rms(np.concatenate((half, y, half)), self.window, self.hop)
 
     def silences(self, rms: np.ndarray) -> list[tuple[int, int]]:
         """Frame ranges to remove: found from the runs of quiet frames, left to right."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import signal as g
 from quern.operators import training as tr
 from quern.operators import vocab as vo
+from quern.operators import waveforms as wf
 from quern.plans import views as v
 from quern.plans.registry import query
 from quern.session import table
@@ -50,10 +51,20 @@ def w07(spark, sf):
     return _d(spark, sf).select("vec_id", F.explode(g.simple_segments(F.col("x"), RATE, 0.01, 1.0)).alias("s")).select("vec_id", "s.start", "s.end")
 
 
+@query("w06_energy_blocks", f"WITH {_D}, {_runs(_MEAN.format('rms') + ' + 0.5::DOUBLE * ' + _STD.format('rms'), 20, 50, 20)} SELECT vec_id, \"start\", \"end\" FROM s WHERE (\"end\" - \"start\") * 1000 >= 10")
+def w06b(spark, sf):
+    return wf.energy_segments(wf.blocked(table(spark, sf, "embeddings"), "vec_id", "embedding", 60), "vec_id", RATE, 10, 60)
+
+
+@query("w07_simple_blocks", f"WITH {_D}, {_runs('list_median(rms) * 0.3::DOUBLE', 10, 25, 10).replace('list_median(rms)', 'list_aggregate(rms, ' + chr(39) + 'median' + chr(39) + ')')} SELECT vec_id, \"start\", \"end\" FROM s WHERE \"end\" - \"start\" BETWEEN 0.01 AND 1.0")
+def w07b(spark, sf):
+    return wf.simple_segments(wf.blocked(table(spark, sf, "embeddings"), "vec_id", "embedding", 30), "vec_id", RATE, 0.01, 1.0, 30)
+
+
 @query("w09_silence_slices")
 def w09(spark, sf):
     plan = g.SilencePlan(RATE, threshold_db=-17.0, least_ms=16, interval_ms=8, hop_ms=2, kept_ms=6)
-    return g.slice_at_silence(table(spark, sf, "embeddings"), plan, "vec_id", "embedding")
+    return wf.slice_at_silence(wf.blocked(table(spark, sf, "embeddings"), "vec_id", "embedding"), plan, "vec_id")
 
 
 @query("w24_adaptive_threshold", f"""WITH {_D}, e AS (SELECT vec_id, list_transform(x, lambda q: abs(q)) AS a FROM d), r AS (SELECT vec_id, CASE WHEN list_aggregate(a, 'avg') > 0 THEN list_aggregate(a, 'stddev_samp') / list_aggregate(a, 'avg') ELSE 0 END AS r FROM e)
