@@ -23,14 +23,17 @@ def _pick(pool, i: Column) -> Column:
     return F.element_at(strings(pool), i.cast("int") + 1)
 
 
+def _en_said(n: int) -> str:
+    h, r = divmod(n, 100)
+    low = EN_ONES[r] if r < 20 else EN_TENS[r // 10] + (f"-{EN_ONES[r % 10]}" if r % 10 else "")
+    return low if not h else f"{EN_ONES[h]} hundred" + (f" and {low}" if r else "")
+
+
+EN_SAID = tuple(map(_en_said, range(1000)))
+
+
 def _en_below_thousand(n: Column) -> Column:
-    h, r = F.floor(n / 100).cast("int"), (n % 100).cast("int")
-    low = F.when(r < 20, _pick(EN_ONES, F.least(r, F.lit(19)))).otherwise(
-        F.concat_ws("-", _pick(EN_TENS, F.floor(r / 10)), F.when(r % 10 > 0, _pick(EN_ONES, r % 10)))
-    )
-    return F.when(h == 0, low).otherwise(
-        F.concat(_pick(EN_ONES, F.least(h, F.lit(9))), F.lit(" hundred"), F.when(r > 0, F.concat(F.lit(" and "), low)).otherwise(""))
-    )
+    return _pick(EN_SAID, F.least(n, F.lit(999)))
 
 
 def english_words(n: Column) -> Column:

@@ -17,15 +17,21 @@ def _some(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def _said(n: int) -> str:
+    """Words of 1..999 by the rule of hundreds, tens and ones; '' for 0."""
+    h, r = divmod(n, 100)
+    hundreds = "" if h == 0 else t.HUNDRED if h == 1 else f"{t.ONES[h]} {t.HUNDRED}"
+    tens = t.ONES[r] if r < 20 else " ".join(x for x in (t.TENS[r // 10], t.ONES[r % 10]) if x)
+    return " ".join(x for x in (hundreds, tens) if x)
+
+
+#: Looked up by number, so that a number's words cost an access for every three digits.
+SAID = tuple(map(_said, range(1000)))
+
+
 def _below_thousand(n: Column) -> Column:
     """Words of 1..999; null for 0."""
-    h = F.floor(n / 100).cast("int")
-    r = (n % 100).cast("int")
-    hundreds = F.when(h == 1, t.HUNDRED).when(h > 1, F.concat(_words(t.ONES, F.least(h, F.lit(9))), F.lit(" " + t.HUNDRED)))
-    tens = F.when(r >= 20, F.concat_ws(" ", _words(t.TENS, F.floor(r / 10)), _some(_words(t.ONES, r % 10)))).when(
-        r > 0, _words(t.ONES, F.least(r, F.lit(19)))
-    )
-    return _some(F.concat_ws(" ", hundreds, tens))
+    return _some(_words(SAID, F.least(n, F.lit(999))))
 
 
 def _below_million(n: Column) -> Column:

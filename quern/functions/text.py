@@ -35,6 +35,40 @@ def replaced(c: Column, pairs) -> Column:
     return c
 
 
+def guarded(c: Column, pairs) -> Column:
+    """replaced(), but a text that holds none of the old strings is searched once and left alone."""
+    pairs = [*pairs]
+    held = "|".join(re.escape(old) for old, _ in pairs)
+    return let(c, lambda x: F.when(x.rlike(held), replaced(x, pairs)).otherwise(x))
+
+
+def in_one_pass(pairs: list[tuple[str, str]]) -> bool:
+    """Whether replacing from left to right, whichever rule fits, equals the rules one after another.
+
+    So it is if no old string holds another; where the end of one is the start of another, the one is the
+    earlier rule; and no old string can be found across the edge of, or in, what a rule has put there.
+    """
+    ends = lambda a, b: any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b) + 1)))
+    for i, (a, _) in enumerate(pairs):
+        for j, (b, _) in enumerate(pairs):
+            if i != j and (a in b or (ends(a, b) and i > j)):
+                return False
+    for i, (_, new) in enumerate(pairs):
+        for later, _ in pairs[i + 1 :]:
+            # only the last characters of a later rule may meet the first ones put there, and the other way round
+            if later in new or new in later or any(later.startswith(new[-k:]) or later.endswith(new[:k]) for k in range(1, min(len(new), len(later)) + 1)):
+                return False
+    return True
+
+
+def doubled(c: Column, halves: list[str], mark: str) -> Column:
+    """Each half that follows itself becomes one half and the mark: one pass where that equals the sequence."""
+    pairs = [(h + h, h + mark) for h in halves]
+    if not in_one_pass(pairs):
+        return replaced(c, pairs)
+    return F.regexp_replace(c, f"({'|'.join(map(re.escape, halves))})\\1", f"$1{literal(mark)}")
+
+
 def one_to_one(c: Column, pairs) -> Column:
     """Replacements of single characters, none of which gives one that another replaces, in one pass."""
     old, new = "".join(x for x, _ in pairs), "".join(x for _, x in pairs)
@@ -59,7 +93,7 @@ def longest_first(rules: dict[str, str]) -> list[tuple[str, str]]:
 
 def normalize_amharic(c: Column) -> Column:
     """Abbreviations (longest first), spelling variants, the word space, white space."""
-    c = replaced(c, longest_first(t.ABBREVIATIONS))
+    c = guarded(c, longest_first(t.ABBREVIATIONS))
     c = one_to_one(c, t.VARIANTS)
     return collapse(F.replace(c, F.lit(t.WORD_SPACE), F.lit(" ")))
 

@@ -9,7 +9,7 @@ from quern.functions import tables as t
 from quern.functions import text as x
 from quern.plans import views as v
 from quern.plans.registry import query
-from quern.session import table
+from quern.session import spread, table
 
 # --- SQL of the same rules --------------------------------------------------------------------
 
@@ -383,7 +383,7 @@ def w19(spark, sf):
 
 @query("f50_abbreviations", "SELECT doc_id, CASE lang WHEN 'en' THEN 'said mister x and doctor y, saint z' WHEN 'es' THEN 'said mr. x and doctor y, santo z' WHEN 'fr' THEN 'said monsieur x and docteur y, saint z' WHEN 'de' THEN 'said mr. x and doktor y, sankt z' END AS text FROM documents")
 def f50(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", cleaners.abbreviations(F.lit("said mr. x and Dr. y, ST. z"), F.col("lang")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", cleaners.abbreviations(F.lit("said mr. x and Dr. y, ST. z"), F.col("lang")).alias("text"))
 
 
 def _lang_symbols(c: str, words) -> str:
@@ -395,7 +395,7 @@ def _lang_symbols(c: str, words) -> str:
 @query("f51_symbols", "WITH s AS (SELECT doc_id, lang, text || ' & 50% #1 @x' AS s FROM documents) SELECT doc_id, CASE lang " + " ".join(f"WHEN '{k}' THEN {_lang_symbols('s', t.LANG_SYMBOLS[k])}" for k in ("en", "es", "fr", "de")) + " END AS text FROM s")
 def f51(spark, sf):
     s = F.concat("text", F.lit(" & 50% #1 @x"))
-    return table(spark, sf, "documents").select("doc_id", cleaners.symbols(s, F.col("lang")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", cleaners.symbols(s, F.col("lang")).alias("text"))
 
 
 @query("f52_english_numbers")
@@ -406,17 +406,17 @@ def f52(spark, sf):
 
 @query("f53_clean")
 def f53(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", cleaners.clean(F.col("text"), F.col("lang")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", cleaners.clean(F.col("text"), F.col("lang")).alias("text"))
 
 
 @query("f53_basic_clean", r"SELECT doc_id, regexp_replace(lower(text), '[\s\x{0B}\x{85}\x{A0}]+', ' ', 'g') AS text FROM documents")
 def f53b(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", cleaners.basic(F.col("text")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", cleaners.basic(F.col("text")).alias("text"))
 
 
 @query("f55_preprocess")
 def f55(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", cleaners.preprocess(F.col("text"), F.col("lang")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", cleaners.preprocess(F.col("text"), F.col("lang")).alias("text"))
 
 
 # --- phonemes and tokens -----------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import table
+from quern.session import spread, table
 
 #: metadata over documents: audio_file, text, speaker_name, pos, lang
 META_SQL = """meta AS (
@@ -89,4 +89,4 @@ FIDEL_SQL = f"""fidel AS (
 
 
 def fidel(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, FIDEL).alias("text"), "lang")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang")).select("doc_id", F.translate(F.lower("text"), LATIN, FIDEL).alias("text"), "lang")

@@ -92,6 +92,20 @@ def discarded(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """df dealt over all cores if its files are too small to keep them busy (under ``least`` bytes a core): a file
+    of one row group is one task. Larger tables have splits enough and are left alone."""
+    spark = df.sparkSession
+    cores, hadoop = spark.sparkContext.defaultParallelism, spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for f in df.inputFiles():
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        size += p.getFileSystem(hadoop).getFileStatus(p).getLen()
+        if size > cores * least:
+            return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
