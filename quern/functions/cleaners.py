@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions import numbers, text
+from quern.functions import numbers, numerals, text
 from quern.functions import tables as t
 from quern.functions.text import let, strings
 
@@ -135,14 +135,22 @@ def _symbols(c: Column, lang: Column) -> Column:
     return F.when(some, out.otherwise(F.trim(c))).otherwise(F.trim(c))
 
 
+def _by_language(c: Column, lang: Column, codes, f) -> Column:
+    """F.when(...) with f(c, code) for each code."""
+    out = F.when(F.lit(False), c)
+    for code in codes:
+        out = out.when(lang == code, f(c, code))
+    return out
+
+
 def clean(c: Column, lang: Column) -> Column:
-    """Quotes go, lower case, numbers (English and Amharic), abbreviations, symbols, white space."""
+    """Quotes go, lower case, numbers (of English, Amharic and the languages of numerals.py), abbreviations, symbols, white space."""
     c = F.replace(c, F.lit('"'), F.lit(""))
     tr = F.translate(c, "İÖÜ", "iöü")
     low = F.lower(F.when(lang == "tr", tr).otherwise(c))
     spoken = let(
         low,
-        lambda x: F.when(lang == "en", english_numbers(x)).when(lang.isin("am", "amh"), numbers.expand_grouped(text.normalize_amharic(x))).otherwise(x),
+        lambda x: _by_language(x, lang, numerals.LANGUAGES, numerals.expand).when(lang == "en", english_numbers(x)).when(lang.isin("am", "amh"), numbers.expand_grouped(text.normalize_amharic(x))).otherwise(x),
     )
     return F.regexp_replace(symbols(abbreviations(spoken, lang), lang), r"(?U)\s+", " ")
 

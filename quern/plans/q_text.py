@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import cleaners, g2p, lang, numbers
+from quern.functions import cleaners, g2p, lang, numbers, numerals
 from quern.functions import tables as t
 from quern.functions import text as x
 from quern.plans import views as v
@@ -404,6 +404,16 @@ def f52(spark, sf):
     return table(spark, sf, "part").select("p_partkey", cleaners.english_numbers(s).alias("text"))
 
 
+@query("f52_numbers_by_language")
+def f52b(spark, sf):
+    n = F.col("p_partkey")
+    s = F.concat(n.cast("string"), F.lit(" "), (n * 7919).cast("string"), F.lit("º "), F.col("p_size").cast("string"), F.lit(",50 "), F.format_number(n % 1000 + F.lit(0.15), 2), F.lit("€"))
+    each = F.explode(F.array(*map(F.lit, numerals.LANGUAGES)))
+    rows = table(spark, sf, "part").select("p_partkey", s.alias("s"), each.alias("lang"))
+    said = F.coalesce(*[F.when(F.col("lang") == x, numerals.expand(F.col("s"), x)) for x in numerals.LANGUAGES])
+    return rows.select("p_partkey", "lang", said.alias("text"))
+
+
 @query("f53_clean")
 def f53(spark, sf):
     return spread(table(spark, sf, "documents")).select("doc_id", cleaners.clean(F.col("text"), F.col("lang")).alias("text"))
