@@ -214,19 +214,14 @@ def prosody_info(c: Column) -> Column:
         return F.filter(F.transform(chars, lambda x, i: F.when(x == s, i)), lambda i: i.isNotNull())
 
     def spans(pattern: str) -> Column:
-        # a match starts where the piece before it ends; pieces and matches alternate
-        found = F.regexp_extract_all(c, F.lit(f"(?s)({pattern})"), F.lit(1))
-        sizes = F.zip_with(F.split(c, f"(?s){pattern}"), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
-        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-        def step(acc: Column, x: Column) -> Column:
-            a = acc["n"] + x["gap"]
-            b = a + x["size"]
-            return F.struct(b.alias("n"), F.concat(acc["spans"], F.array(F.struct(a.alias("start"), b.alias("end")))).alias("spans"))
-
-        return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(
-            F.aggregate(F.filter(sizes, lambda x: x["size"].isNotNull()), start, step, lambda acc: acc["spans"])
-        )
+        # matches are put between two characters that no text needs; the n-th of those lies n places further on
+        free = F.translate(c, "\ufdd0\ufdd1", "\ufdd2\ufdd2")
+        marked = F.split(F.regexp_replace(free, f"(?s){pattern}", "\ufdd0$0\ufdd1"), "")
+        return let(marked, lambda x: F.zip_with(ends(x, "\ufdd0", 0), ends(x, "\ufdd1", 1), lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
+
+    def ends(x: Column, mark: str, more: int) -> Column:
+        found = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i) == mark)
+        return F.transform(found, lambda i, k: i - 2 * k - more)
 
     def emphasis(pattern: str, kind: str) -> Column:
         return F.transform(spans(pattern), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("emphasis")))

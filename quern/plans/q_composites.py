@@ -144,28 +144,27 @@ def o07(spark, sf):
     return spark.createDataFrame([(a, b, i + 1) for i, (a, b) in enumerate(x.longest_first(t.ABBREVIATIONS))], "old string, new string, rank int")
 
 
-@query("s21_log_losses_by_step", f"WITH {v.STEPS_SQL}, {q_signal._LOG} SELECT run, count(*) AS n FROM lg GROUP BY run")
+@query("s21_log_losses_by_step", q_signal.LOSSES_BY_STEP)
 def s21(spark, sf):
-    """Whole log texts are split into numbered lines."""
-    from quern.operators.training import log_lines
+    """Steps and losses from whole log texts."""
+    from quern.operators.training import eval_loss_by_step, log_lines
 
     lines = q_signal._log(spark, sf).groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("text"))
-    return log_lines(lines).groupBy("run").agg(F.count("*").alias("n"))
+    return eval_loss_by_step(log_lines(lines))
 
 
-@query("s29_projects", "SELECT DISTINCT source AS project FROM documents")
+@query("s29_projects", "SELECT DISTINCT source AS project, doc_id FROM documents")
 def s29(spark, sf):
     root = _folder(spark, "s29")
     table(spark, sf, "documents").select("source", "doc_id").distinct().withColumn("project", F.col("source")).write.partitionBy("project").parquet(root)
-    return spark.read.parquet(root).select("project").distinct()
+    return spark.read.parquet(root).select("project", "doc_id")
 
 
-@query("k01_metadata_csv", f"{q_sources._META_LINE} SELECT speaker_name, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM m GROUP BY speaker_name")
+@query("k01_metadata_csv", f"{q_sources._META_LINE} SELECT audio_file, nullif(text, '') AS text, speaker_name FROM m")
 def k01(spark, sf):
     path = _folder(spark, "k01")
     writers.metadata(q_sources._flat(spark, sf), path)
-    back = spark.read.schema(readers.METADATA).csv(path, sep="|", header=True, escape='"')
-    return back.groupBy("speaker_name").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    return spark.read.schema(readers.METADATA).csv(path, sep="|", header=True, escape='"')
 
 
 @query("k08_subtitle_files", f"WITH {v.CUES_SQL} SELECT source_id, count(*) AS n FROM cues GROUP BY source_id")

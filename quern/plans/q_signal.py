@@ -118,9 +118,12 @@ def _log(spark, sf):
     return rows.select("run", (F.col("epoch") * 3 + F.col("k")).alias("line_no"), "line")
 
 
-@query("w11_eval_loss_by_step", f"""WITH {_S}, {_LOG}, g AS (SELECT *, CAST(nullif(regexp_extract(line, 'STEP:\\s*(\\d+)', 1), '') AS BIGINT) AS st, TRY_CAST(nullif(regexp_extract(line, '(?:loss:|avg_loss:)\\s*([\\d.]+)', 1), '') AS DOUBLE) AS loss FROM lg),
+LOSSES_BY_STEP = f"""WITH {_S}, {_LOG}, g AS (SELECT *, CAST(nullif(regexp_extract(line, 'STEP:\\s*(\\d+)', 1), '') AS BIGINT) AS st, TRY_CAST(nullif(regexp_extract(line, '(?:loss:|avg_loss:)\\s*([\\d.]+)', 1), '') AS DOUBLE) AS loss FROM lg),
 c AS (SELECT *, last_value(st IGNORE NULLS) OVER (PARTITION BY run ORDER BY line_no) AS step FROM g)
-SELECT run, step, arg_max(loss, line_no) AS eval_loss FROM c WHERE (line LIKE '%EVAL%' OR line LIKE '%Evaluation%') AND step > 0 AND loss IS NOT NULL GROUP BY 1, 2""")
+SELECT run, step, arg_max(loss, line_no) AS eval_loss FROM c WHERE (line LIKE '%EVAL%' OR line LIKE '%Evaluation%') AND step > 0 AND loss IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("w11_eval_loss_by_step", LOSSES_BY_STEP)
 def w11(spark, sf):
     return tr.eval_loss_by_step(_log(spark, sf))
 
