@@ -1,8 +1,7 @@
 """Chat formatting as prefix trees.
 
-Conversations that share their first turns are laid side by side: each conversation's turns stream
-in order, chained digests of its first ``levels`` (8) turns make a sort key (turns shared beyond those
-are shared in the tree only where conv_id order lays them side by side), and rows are range-partitioned by
+Conversations that share their first turns are laid side by side: each conversation becomes one row,
+chained digests of all its turns make a sort key, and rows are range-partitioned by
 (key, conversation), so conversations under a hot first turn spread over partitions. Every
 partition then streams trees: a shared turn is emitted once, depth-first, and each node carries its
 position along its path, the intervals of the emitted text that it may attend to (its ancestors),
@@ -26,12 +25,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.common import sliced
 from quern.session import stored
 
 OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
@@ -63,52 +64,34 @@ def parse_turn(turn: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by conversation get the key of their conversation's first turns."""
-    names = ("conv_id", "idx", "role", "text", "path")
-    out: dict[str, list] = {n: [] for n in names}
-    head: list[tuple] = []
-    now, idx, chain, key, size = object(), 0, b"", "", 0
+_KEYED = "conv_id long, roles array<string>, texts array<string>, path string"
 
-    def put(row):
-        for own, v in zip(out.values(), (*row, key), strict=True):
-            own.append(v)
 
-    def batch():
-        b = pa.RecordBatch.from_arrays(
-            [pa.array(out[n], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)],
-            names=list(names),
-        )
-        for own in out.values():
-            own.clear()
-        return b
-
-    for b in batches:
-        for conv, role, text in zip(*(b.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-            if conv != now:
-                for row in head:
-                    put(row)
-                head, now, idx, chain, key = [], conv, 0, b"", ""
-            row = (conv, idx, role, text)
-            if idx < levels:
-                chain = hashlib.blake2b(b"\0".join((chain, role.encode(), text.encode())), digest_size=8).digest()
-                key += chain.hex()
-                head.append(row)
-            else:
-                for x in head:
-                    put(x)
-                head = []
-                put(row)
-            idx += 1
-            size += len(text)
-            if size > 1 << 22 or len(out["idx"]) > 10_000:
-                if out["idx"]:
-                    yield batch()
-                size = 0
-    for row in head:
-        put(row)
-    if out["idx"]:
-        yield batch()
+def _keyed(batches: Iterator[pa.RecordBatch], flush: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by conversation become a row a conversation, with the chained digests of all its turns."""
+    many = pa.list_(pa.string())
+    schema = pa.schema([("conv_id", pa.int64()), ("roles", many), ("texts", many), ("path", pa.string())])
+    out: list[tuple] = []
+    size = 0
+
+    def rows():
+        for b in sliced(batches):
+            yield from zip(*(b.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True)
+
+    for conv, turns in groupby(rows(), key=lambda r: r[0]):
+        roles, said, path, chain = [], [], [], b""
+        for _, role, text in turns:
+            chain = hashlib.blake2b(b"\0".join((chain, role.encode(), text.encode())), digest_size=8).digest()
+            roles.append(role)
+            said.append(text)
+            path.append(chain.hex())
+            size += len(text) + 40
+        out.append((conv, roles, said, "".join(path)))
+        if size > flush:
+            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
 _TREE = (
@@ -167,7 +150,7 @@ class Tree:
 
 
 def prefix_trees(
-    conversations: DataFrame, loss_role: str = "assistant", tree_chars: int = 1 << 20, tree_leaves: int = 512, levels: int = 8
+    conversations: DataFrame, loss_role: str = "assistant", tree_chars: int = 1 << 20, tree_leaves: int = 512
 ) -> DataFrame:
     """One row a tree: the emitted text, its nodes depth-first, and each conversation's last node."""
     empty = F.lit("")
@@ -181,7 +164,7 @@ def prefix_trees(
         rows.repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .select("conv_id", "role", "text")
-        .mapInArrow(lambda x: _keyed(x, levels), "conv_id long, idx long, role string, text string, path string")
+        .mapInArrow(_keyed, _KEYED)
     )
     keyed = stored(keyed, "chat-paths")
     order = ["path", "conv_id"]
@@ -193,7 +176,7 @@ def prefix_trees(
 
         schema = to_arrow_schema(kind)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        tree, now, turns, any_row = Tree(), None, [], False
+        tree = Tree()
 
         def row(t: Tree):
             return pa.RecordBatch.from_arrays(
@@ -204,34 +187,20 @@ def prefix_trees(
                 schema=schema,
             )
 
-        def settle():
-            """Places the conversation that has ended; gives a tree that it closes."""
-            nonlocal tree
-            done = None
-            if tree.leaves and not tree.fits(turns, tree_chars, tree_leaves):
-                done, tree = tree, Tree()
-            tree.add(now, turns, loss_role)
-            return done
-
-        for b in batches:
-            for conv, role, text in zip(*(b.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-                if any_row and conv != now:
-                    if (done := settle()) is not None:
-                        yield row(done)
-                        number += 1
-                    turns = []
-                any_row, now = True, conv
-                turns.append((role, text))
-        if any_row:
-            if (done := settle()) is not None:
-                yield row(done)
-                number += 1
+        for b in sliced(batches, 64):
+            for conv, roles, said in zip(*(b.column(n).to_pylist() for n in ("conv_id", "roles", "texts")), strict=True):
+                turns = list(zip(roles, said, strict=True))
+                if tree.leaves and not tree.fits(turns, tree_chars, tree_leaves):
+                    yield row(tree)
+                    tree, number = Tree(), number + 1
+                tree.add(conv, turns, loss_role)
+        if tree.leaves:
             yield row(tree)
 
     return (
         keyed.repartitionByRange(*order)
-        .sortWithinPartitions(*order, "idx")
-        .select("conv_id", "role", "text")
+        .sortWithinPartitions(*order)
+        .select("conv_id", "roles", "texts")
         .mapInArrow(build, kind)
     )
 

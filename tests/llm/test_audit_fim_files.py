@@ -211,3 +211,44 @@ def test_one_id_in_many_rows_fills_many_files(spark):
     got = token_files.read_token_files(spark, folder)
     assert got.count() == 2000 and got.select("start").distinct().count() == 2000
     assert len(fs.get_file_info(selector(root))) >= 2
+
+
+def test_toxicity_features_by_a_plain_scan():
+    """Every term and phrase tried at every place of the folded text."""
+    from quern.llm import toxicity
+
+    rng = random.Random(8)
+    terms = {"=idiot": 2.0, "moro": 1.5, "=moron": 3.0, "scum": 2.5, "=a b": 1.0, "gro": 0.5, "grob": 2.2}
+    lexicon = toxicity.Lexicon(terms, ("scum line", "idiot proof", "my moron"))
+    parts = ["idiot", "1d1ot", "moron", "moronic", "scum", "scum line", "scum  line", "idiot proof", "idiot-proof", "my moron", "GR0B", "grоb", "a b", "x", " ", " ", "\n", "é", "4"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12)))
+        t = toxicity.folded(text)
+
+        def at(word, whole, t=t):
+            found = []
+            for i in range(len(t)):
+                j = i + len(word)
+                if t[i:j] == word and not (i and t[i - 1].isalpha()) and not (whole and t[j : j + 1].isalpha()):
+                    found.append(i)
+            return found
+
+        hits = {}
+        for term, w in terms.items():
+            for i in at(term.lstrip("="), term.startswith("=")):
+                hits[i] = max(w, hits.get(i, 0.0))
+        for phrase in lexicon.exceptions:
+            for i in at(phrase, True):
+                hits = {k: w for k, w in hits.items() if not i <= k < i + len(phrase)}
+        total = sum(hits.values())
+        want = (max(hits.values(), default=0.0), float(np.log1p(total)), 100 * total / (t.count(" ") + 1))
+        assert np.allclose(lexicon.features(text), want), text
+
+
+def test_toxicity_with_labels_of_one_class(spark):
+    from quern.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(30)], "doc_id long, text string")
+    for label in (0, 1):
+        labels = spark.createDataFrame([(i, label) for i in range(30)], "doc_id long, toxic int")
+        assert toxicity.learn(docs, labels).weights == toxicity.seed_lexicon().weights

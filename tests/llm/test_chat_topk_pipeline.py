@@ -65,6 +65,18 @@ def test_prefix_trees(spark):
     assert chat.prefix_trees(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_turns_shared_at_any_depth_are_emitted_once(spark):
+    """Thirty conversations of one beginning of 20 turns, then three branches of 15 more, then a turn of their own."""
+    rows = []
+    for c in range(30):
+        said = [f"start {k}" for k in range(20)] + [f"branch {c % 3} {k}" for k in range(15)] + [f"own {c}"]
+        rows += [(c, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(said)]
+    trees = chat.prefix_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    turns = [n for t in trees for n in t.nodes]
+    assert len(turns) <= len(trees) * (20 + 15) + 3 * 15 + 30
+    assert len(trees) > 1 or len(turns) == 20 + 3 * 15 + 30
+
+
 def vectors():
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1) for _ in range(12)], "z") for i in range(300)]
