@@ -181,10 +181,10 @@ def test_queries_match_their_sql(spark, sf):
     from quern.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, sf)
         cur = con.execute(sql)
         at = [[d[0] for d in cur.description].index(c) for c in df.columns]
-        assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in cur.fetchall()), name
+        assert sorted(map(tuple, df.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=str), name
