@@ -60,8 +60,14 @@ def loss_changes(df: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("change").isNull(), "baseline").when(F.col("change") < 0, "improved").when(F.col("change") > 0, "worse").otherwise("same"))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 has it: over zero infinite, zero over zero NaN, never an error."""
+    return F.when(b != 0, a / b).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
 def loss_summary(df: DataFrame) -> DataFrame:
-    """First, last, least and largest loss with their epochs (the first of equals), change, verdict."""
+    """First, last, least and largest loss with their epochs (the first of equals), change, verdict.
+    A run that begins at zero changes by infinity, or NaN if it ends there; both count as severe."""
     out = df.groupBy("run").agg(
         F.min_by("loss", "epoch").alias("first"),
         F.max_by("loss", "epoch").alias("last"),
@@ -70,7 +76,7 @@ def loss_summary(df: DataFrame) -> DataFrame:
         F.min_by("epoch", F.struct("loss", "epoch")).alias("best_epoch"),
         F.max_by("epoch", F.struct("loss", -F.col("epoch"))).alias("worst_epoch"),
     )
-    pct = (F.col("last") - F.col("first")) / F.col("first") * 100
+    pct = ratio(F.col("last") - F.col("first"), F.col("first")) * 100
     verdict = F.when(pct > 50, "severe").when(pct > 20, "overfitting").when(pct < -20, "excellent").otherwise("stable")
     return out.withColumn("change_pct", pct).withColumn("verdict", verdict)
 

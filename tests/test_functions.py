@@ -317,6 +317,15 @@ def test_early_stop_random(spark):
 # --- relations and files -----------------------------------------------------------------------
 
 
+def test_losses_from_zero(spark):
+    runs = {1: [0.0, 1.0, 0.5], 2: [0.0, 2.0, 0.0], 3: [0.5, 0.0], 4: [1.0, 1.3]}
+    rows = [(run, i, x) for run, own in runs.items() for i, x in enumerate(own)]
+    found = {r.run: r for r in training.loss_summary(spark.createDataFrame(rows, "run long, epoch int, loss double")).collect()}
+    assert found[1].change_pct == float("inf") and np.isnan(found[2].change_pct) and found[3].change_pct == -100
+    assert [found[i].verdict for i in (1, 2, 3, 4)] == ["severe", "severe", "excellent", "overfitting"]
+    assert abs(found[4].change_pct - 30) < 1e-9
+
+
 def test_ordinal_is_global(spark):
     rng = random.Random(2)
     values = [rng.choice([None, *range(50)]) for _ in range(500)]
