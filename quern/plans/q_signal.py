@@ -209,7 +209,7 @@ def a16(spark, sf):
 
 @query("a17_monitor_summary", f"""WITH {_S} SELECT run, arg_min(epoch, (val_loss, epoch)) AS best_epoch, min(val_loss) AS best, arg_max(val_loss / train_loss, epoch) AS final_gap, count(*) FILTER (WHERE train_loss > 0 AND val_loss / train_loss > 3) AS warnings FROM steps GROUP BY run""")
 def a17(spark, sf):
-    gap = F.col("val_loss") / F.col("train_loss")
+    gap = tr.ratio(F.col("val_loss"), F.col("train_loss"))
     return v.steps(spark, sf).groupBy("run").agg(F.min_by("epoch", F.struct("val_loss", "epoch")).alias("best_epoch"), F.min("val_loss").alias("best"), F.max_by(gap, "epoch").alias("final_gap"), F.count_if((F.col("train_loss") > 0) & (gap > 3)).alias("warnings"))
 
 
