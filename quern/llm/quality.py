@@ -1,7 +1,9 @@
 """Quality rules: word rules, then n-gram perplexity bands by language.
 
-Spark counts character 4-grams over every document, on a fixed alphabet of 48 classes. A modified Kneser-Ney model is made of them and stored in sorted hash arrays; since the alphabet bounds the
-model, it may be broadcast, and a worker looks each 4-gram up when it first meets it. Characters spell the
+Spark counts character 4-grams over every document, on a fixed alphabet of 48 classes, and beside them which
+letter of its class follows which (chargrams). Modified Kneser-Ney models are made of both and stored in sorted hash
+arrays; since the alphabet and Unicode bound the models, they may be broadcast, and a worker looks each 4-gram up when
+it first meets it. Together they give every letter of any script its own probability. Characters spell the
 words; a cache of the document's own last eight words is mixed in, so that a word said again costs
 few bits: the model sees repetition at any vocabulary, without word counts that grow past a bound.
 
@@ -20,8 +22,6 @@ Defined results:
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -102,12 +102,17 @@ CACHE = 0.3
 _RECENT = 0.5 ** np.arange(1, 9) / (1 - 0.5**8)
 
 
-def spelt_words(text: str, bits: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def spelt_words(text: str, bits: Remembered) -> np.ndarray:
     """The bits of each word's characters with the blanks after it (the first one also has those before it)."""
     found: list[np.ndarray] = []
-    lead, in_word = 0.0, False
+    lead, in_word, at = 0.0, False, 0
+    members, plain = bits.model.members, text.isascii()
     for code in cg.codes(text):
         bit = bits(code).astype(np.float64)
+        if members and not plain:
+            where, pair = cg.told(text, at, at + len(code))
+            bit[where] += members.bits(pair)
+        at += len(code)
         last = code % cg.SIZE
         inside = (last != 0) & (last != _NEWLINE)
         first = np.flatnonzero(inside & ~np.concatenate(([in_word], inside[:-1])))
@@ -125,7 +130,7 @@ def spelt_words(text: str, bits: Callable[[np.ndarray], np.ndarray]) -> np.ndarr
     return np.concatenate(found)
 
 
-def scored(text: str, bits: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float]:
+def scored(text: str, bits: Remembered) -> tuple[float, float]:
     """Bits per word, and the variance of a word's bits. A text without words has none."""
     words = text.encode().split()
     n = len(words)
@@ -141,8 +146,55 @@ def scored(text: str, bits: Callable[[np.ndarray], np.ndarray]) -> tuple[float,
     return float(word.mean()), float(word.var())
 
 
+def discounted(c: np.ndarray, m: np.ndarray, context: np.ndarray) -> tuple[HashArray, HashArray]:
+    """What each n-gram keeps after discounting, and what its context passes down."""
+    tally = [int((m == i).sum()) for i in (1, 2, 3, 4)]
+    y = tally[0] / (tally[0] + 2 * tally[1]) if tally[0] else 0.5
+    d = [0.0] + [
+        min(max(i - (i + 1) * y * tally[i] / tally[i - 1], 0.05), i - 0.05) if tally[i - 1] else min(0.5, i / 2)
+        for i in (1, 2, 3)
+    ]
+    cut = np.array(d)[np.minimum(m, 3)]
+    context, where = np.unique(context, return_inverse=True)
+    total = np.bincount(where, weights=m, minlength=len(context))
+    lost = np.bincount(where, weights=cut, minlength=len(context))
+    return HashArray(c, (m - cut) / np.maximum(total[where], 1)), HashArray(context, lost / np.maximum(total, 1))
+
+
+class Members:
+    """Which character of its class: the row after the character before, then the place in the row, each a
+    modified Kneser-Ney of order 2 over a uniform choice."""
+
+    #: where the context begins in a code, and the bits of what is told
+    _ROW, _PLACE = (cg.CONTEXT_OF_ROW, 15), (cg.CONTEXT_OF_PLACE, 6)
+
+    def __init__(self, rows: tuple[np.ndarray, np.ndarray], places: tuple[np.ndarray, np.ndarray]):
+        self.rows = self._orders(*rows, *self._ROW)
+        self.places = self._orders(*places, *self._PLACE)
+
+    @staticmethod
+    def _orders(code: np.ndarray, n: np.ndarray, high: int, low: int):
+        """(kept, passed) without and with the character before."""
+        short, count = np.unique(code & ((1 << high) - 1), return_counts=True)
+        return [discounted(c, m, c >> low) for c, m in ((short, count), (code, n))]
+
+    def bits(self, pair: np.ndarray) -> np.ndarray:
+        """-log2 of the probability of the second code point of each pair among its class, after the first."""
+        pair, where = np.unique(pair, return_inverse=True)
+        bit = np.zeros(len(pair), np.float32)
+        for kind, at, code, choices in cg.members(pair):
+            orders, high, low = (self.rows, *self._ROW) if kind == cg.ROW_BIT else (self.places, *self._PLACE)
+            p = (1 / choices).astype(np.float32)
+            for (kept, passed), own in zip(orders, (code & ((1 << high) - 1), code), strict=True):
+                p = kept.get(own, 0.0) + passed.get(own >> low, 1.0) * p
+            bit[at] -= np.log2(np.maximum(p, 1e-9))
+        return bit[where]
+
+
 class KneserNey:
-    """Modified Kneser-Ney of order 4, interpolated, from 4-gram counts."""
+    """Modified Kneser-Ney of order 4, interpolated, from 4-gram counts; with members, of characters, else of classes."""
+
+    members: Members | None = None
 
     def __init__(self, code: np.ndarray, n: np.ndarray):
         #: by order: what an n-gram keeps after discounting, and what its context passes down
@@ -154,18 +206,9 @@ class KneserNey:
             short, count = np.unique(per_order[0][0] % cg.SIZE**k, return_counts=True)
             per_order.insert(0, (short, count))
         for c, m in per_order:
-            tally = [int((m == i).sum()) for i in (1, 2, 3, 4)]
-            y = tally[0] / (tally[0] + 2 * tally[1]) if tally[0] else 0.5
-            d = [0.0] + [
-                min(max(i - (i + 1) * y * tally[i] / tally[i - 1], 0.05), i - 0.05) if tally[i - 1] else min(0.5, i / 2)
-                for i in (1, 2, 3)
-            ]
-            cut = np.array(d)[np.minimum(m, 3)]
-            context, where = np.unique(c // cg.SIZE, return_inverse=True)
-            total = np.bincount(where, weights=m, minlength=len(context))
-            lost = np.bincount(where, weights=cut, minlength=len(context))
-            self.kept.append(HashArray(c, (m - cut) / np.maximum(total[where], 1)))
-            self.passed.append(HashArray(context, lost / np.maximum(total, 1)))
+            kept, passed = discounted(c, m, c // cg.SIZE)
+            self.kept.append(kept)
+            self.passed.append(passed)
 
     def bits(self, code: np.ndarray) -> np.ndarray:
         """-log2 of the probability of each 4-gram's last character after the others."""
@@ -194,13 +237,16 @@ class Remembered:
 
 
 def train(docs: DataFrame) -> KneserNey:
-    return KneserNey(*cg.collected(cg.count_fourgrams(docs)))
+    grams, rows, places = cg.collected(cg.count_characters(docs))
+    model = KneserNey(*grams)
+    model.members = Members(rows, places)
+    return model
 
 
 def measured(docs: DataFrame, model: KneserNey, carry: bool = False) -> DataFrame:
     """For each row: row (its doc_id, or with carry all its columns), lang, the word rules, bits per
     word and their variance."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 48^4 entries an order
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see chargrams
     own_key = uuid.uuid4().hex
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     lang = F.coalesce(F.col("lang"), F.lit("")).alias("lang")

@@ -110,3 +110,76 @@ def test_small_languages_are_judged(spark):
     last = {lang: i for i, _, lang in rows if lang != "en"}
     assert not any(found[i].kept or found[i].base_failed for i in last.values())
     assert sum(not r.kept for i, r in found.items() if i not in last.values()) <= 6
+
+
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+SCRIPTS = {
+    "Cyrillic": "абвгдежзиклмнопрстуфхцчшщы",
+    "Ethiopic": "አበቸደእፈገሀኢጀከለመነኦጰቀረሰተኡቨወጠየዘ",
+    "Han": "的一是不了人我在有他这中大来上国个到说们为子和你地出",
+    "accents": "àáâãåèêëìíîïòóôõùúûāēģķļņš",
+}
+
+
+def test_garbled_texts_of_any_script_fall_outside(spark):
+    """Texts whose words have the right lengths and wrong letters; all these letters were once of a class or two."""
+    rng = random.Random(7)
+    rows, garbled = [], set()
+    for lang, letters in SCRIPTS.items():
+        own = str.maketrans(LATIN, letters)
+        for i in range(210):
+            t = sentence(rng, rng.randint(60, 200)).translate(own)
+            if i >= 200:
+                garbled.add(len(rows))
+                t = "".join(rng.choice(letters) if c in letters else c for c in t)
+            rows.append((len(rows), t, lang))
+    found = {r["row"].doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(found[i].kept for i in garbled) and not any(found[i].base_failed for i in garbled)
+    assert sum(not r.kept for i, r in found.items() if i not in garbled) <= 16
+
+
+def member_parts(texts):
+    """Counts of rows and of places, from the definition, in pieces of seven characters."""
+    counted = [cg.told(t, i, i + 7)[1] for t in texts for i in range(0, len(t), 7)]
+    found = Counter()
+    for pair in counted:
+        for bit, at, code, _ in cg.members(pair):
+            found.update((bit, int(c)) for c in code)
+    return [
+        (np.array(sorted(c for b, c in found if b == bit)), np.array([found[bit, c] for c in sorted(c for b, c in found if b == bit)]))
+        for bit in (cg.ROW_BIT, cg.PLACE_BIT)
+    ]
+
+
+ODD = ["ሰላም ለዓለም 漢字かな Жук жук", "é ö Ÿ Straße àá ÀÁ ﬁ Ａｂ", "\U0001f600 \U0010ffff\ue000\u0378 x漢", "plain", ""]
+
+
+def test_members_of_a_class_share_its_probability():
+    model = quality.Members(*member_parts(ODD))
+    every = np.flatnonzero((cg.FOLD == np.arange(0x110000)) & (cg.TABLE >= cg.TOLD))
+    for before in " aላ漢ж\U0001f600\ue000\U0010ffff":
+        p = 2.0 ** -model.bits((ord(before) << 21) | every).astype(float)
+        share = np.bincount(cg.TABLE[every], weights=p, minlength=cg.SIZE)[cg.TOLD :]
+        assert abs(share - 1).max() < 1e-3, before
+    bits = lambda a, b: float(model.bits(np.array([(ord(a) << 21) | ord(b)]))[0])
+    assert bits("ለ", "ላ") < bits("ለ", "乙") and bits("漢", "字") < bits("漢", "漢")
+
+
+def test_every_member_is_counted(spark):
+    rows = cg.collected(cg.count_characters(spark.createDataFrame([(t,) for t in [*ODD * 3, None]], "text string").repartition(3)))
+    for (code, n), (want, m) in zip(rows[1:], member_parts(ODD * 3), strict=True):
+        assert code.tolist() == want.tolist() and n.tolist() == m.tolist()
+
+
+def test_members_are_scored_in_any_arrays(monkeypatch):
+    code = np.concatenate([c for t in ODD for c in cg.codes(t)])
+    model = quality.KneserNey(*np.unique(code, return_counts=True))
+    plain = [quality.spelt_words(t, quality.Remembered(model)).sum() for t in ODD]
+    model.members = quality.Members(*member_parts(ODD))
+    bits, codes = quality.Remembered(model), cg.codes
+    more = [float(model.members.bits(cg.told(t, 0, len(t))[1]).sum()) if t else 0.0 for t in ODD]
+    for chars in (1 << 20, 5, 1):
+        monkeypatch.setattr(cg, "codes", lambda t, n=chars: codes(t, n))
+        got = [quality.spelt_words(t, bits).sum() for t in ODD]
+        assert np.allclose(got, np.add(plain, more), atol=1e-3)
+    assert more[0] > 0 and more[3] == 0
